@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing
+from . import ann, bpe, exact_dedup, langid, mixing, quality, toxicity
 from .common import fold, table
 
 
@@ -15,6 +15,11 @@ def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_stable_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,10 +37,25 @@ def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs)
 
 
+def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    return quality.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_ppm_language": op1_ppm_language,
+    "op2_stable_projection_search": op2_stable_projection_search,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
+    "op9_kneser_ney_toxicity": op9_kneser_ney_toxicity,
+    "op10_attention_quality": op10_attention_quality,
     "op8_low_discrepancy_mix": op8_low_discrepancy_mix,
 }
 
