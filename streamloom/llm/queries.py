@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, minhash, mixing, quality, toxicity
+from . import ann, bpe, exact_dedup, langid, minhash, mixing, pii, quality, toxicity
 from .common import fold, table
 
 
@@ -32,6 +32,10 @@ def op4_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(docs, only=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_dart_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_stable_projection_search": op2_stable_projection_search,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
+    "op5_disclosure_pii": op5_disclosure_pii,
     "op7_dart_minhash_dedup": op7_dart_minhash_dedup,
     "op9_kneser_ney_toxicity": op9_kneser_ney_toxicity,
     "op10_attention_quality": op10_attention_quality,
