@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, minhash, mixing, pii, quality, toxicity
+from . import ann, bpe, exact_dedup, langid, minhash, mixing, pii, quality, suffix_dedup, toxicity
 from .common import fold, table
 
 
@@ -36,6 +36,10 @@ def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_dart_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
     "op5_disclosure_pii": op5_disclosure_pii,
+    "op6_difference_cover_dedup": op6_difference_cover_dedup,
     "op7_dart_minhash_dedup": op7_dart_minhash_dedup,
     "op9_kneser_ney_toxicity": op9_kneser_ney_toxicity,
     "op10_attention_quality": op10_attention_quality,
