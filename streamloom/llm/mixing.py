@@ -98,7 +98,7 @@ def slots(targets: DataFrame, tokens: int, source: str = "source") -> tuple[Data
 def plan(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
     """(schedule, targets): for each slot the stretches of documents that it takes.
 
-    schedule: slot, doc_id, from_word, words. docs needs doc_id, source and size (words) and any
+    schedule: slot, doc_id, source, epoch (how often the source was read before), from_word, words. docs needs doc_id, source and size (words) and any
     number of rows for a doc_id; a null source is a source of its own, documents of no words are never
     taken, an empty table gives an empty schedule.
     """
@@ -118,7 +118,7 @@ def plan(docs: DataFrame, source: str = "source", size: str = "size", doc_id: st
     joined = pieces.join(given, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_rank")))
     lo = F.greatest(F.col("at"), F.col("block") * length)
     hi = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * length)
-    return joined.select("slot", "doc_id", "source", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words")), targets
+    return joined.select("slot", "doc_id", "source", "epoch", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words")), targets
 
 
 def taken(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
@@ -136,3 +136,23 @@ def taken(docs: DataFrame, source: str = "source", size: str = "size", doc_id: s
     out = base.join(known, F.col("source").eqNullSafe(F.col("target_source")), "left")
     out = out.join(per, F.col("doc_id").eqNullSafe(F.col("taken_id")) & F.col("source").eqNullSafe(F.col("taken_source")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", n_chars: str = "n_chars", weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """The mix as rows of docs: one for each reading of a document, holding the words that the mix takes then.
+
+    A document that is taken whole keeps its text as it is; of one taken in part (the last of a source's
+    slots ends in it) the words taken are joined by spaces and n_chars is counted anew. Needs doc_id to
+    be unique within a source; columns are those of docs.
+    """
+    size, copy_id, copy_source = fresh(docs, "mix_size", "mix_id", "mix_source")
+    sized = docs.withColumn(size, count_words(F.col(text)))
+    schedule, _ = plan(sized.select(doc_id, source, size), source, size, doc_id, weights, most)
+    readings = schedule.groupBy(F.col("doc_id").alias(copy_id), F.col("source").alias(copy_source), "epoch").agg(F.min("from_word").alias("mix_from"), F.sum("words").alias("mix_words"))
+    rows = sized.join(readings, F.col(doc_id).eqNullSafe(F.col(copy_id)) & F.col(source).eqNullSafe(F.col(copy_source)))
+    part = F.concat_ws(" ", F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.col("mix_from").cast("int") + 1, F.col("mix_words").cast("int")))
+    kept = F.when(F.col("mix_words") == F.col(size), F.col(text)).otherwise(part)
+    out = rows.withColumn(text, kept)
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.col("mix_words") == F.col(size), F.col(n_chars)).otherwise(F.length(text)).cast(dict(docs.dtypes)[n_chars]))
+    return out.select(*docs.columns)
