@@ -9,7 +9,8 @@ and a signature of k coordinates takes about max(n, k ln k) darts, not n * k.
 Documents of equal shingle sets are one from then on. Buckets of bands propose pairs with the bucket's
 smallest id; pairs that the signatures don't rule out are verified on whole texts, and make components.
 Where a bucket still holds several components, its members of different components are compared in
-blocks by their signatures, so that no link is lost and the pairs of a group are never listed.
+blocks, by signatures and then by whole shingle sets, in the first bucket that a pair shares. Only links
+that join components leave a block, so that no link is lost and the pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -199,32 +200,58 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _across(cand: DataFrame, comp: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Plausible pairs of different components in one bucket, compared in blocks of the bucket's members."""
+def _sets(texts: DataFrame, counts: bool) -> DataFrame:
+    """id, set: the sorted shingles of a text as 64-bit fingerprints."""
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in text_blocks(batch.column(1)):
+                doc, s = shingles(buf, offs, counts)
+                each = np.split(s, np.searchsorted(doc, np.arange(1, hi - lo)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([np.sort(x).tobytes() for x in each], pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, set binary")
+
+
+def _across(cand: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, counts: bool) -> DataFrame:
+    """Links between members of one bucket that are in different components, compared in blocks of members."""
     kind = dict(cand.dtypes)["id"]
     least = _floor(similarity)
-    known = cand.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    known = cand.join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     rows = known.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    ids = rows.select("id").distinct()
+    facts = sketches.select("id", "sketch", "n").join(ids, "id", "left_semi").join(_sets(texts.join(ids, "id", "left_semi"), counts), "id")
     # Every member goes to each pairing of its part with another, as one side or as both.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    rows = rows.join(sketches.select("id", "sketch", "n"), "id")
+    rows = rows.select("key", "band", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    rows = rows.join(facts, "id")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, x, part = group.column("id"), _bytes(group.column("sketch")), np.array(group.column("part"))
-        comp = np.array(group.column("component").to_pylist())
-        n, p, q = np.array(group.column("n")), group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        A, B = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        n, p, q, band = np.array(group.column("n")), group.column("p")[0].as_py(), group.column("q")[0].as_py(), group.column("band")[0].as_py()
+        comp = np.unique(np.array(group.column("component").to_pylist()), return_inverse=True)[1].reshape(-1)
+        sets = [np.frombuffer(v, np.uint64) for v in group.column("set").to_pylist()]
         left, right = [], []
+        A, B = np.flatnonzero(part == p), np.flatnonzero(part == q)
         for a in A:
             b = B[B > a] if p == q else B
             b = b[(comp[b] != comp[a]) & (np.minimum(n[b], n[a]) >= similarity * np.maximum(n[b], n[a]))]
-            if len(b):
-                b = b[_estimate(x[b], x[a]) >= least]
-                left += [a] * len(b)
-                right += b.tolist()
+            if not len(b):
+                continue
+            same = x[b] == x[a]
+            first = same.reshape(len(b), BANDS, ROWS).all(2).argmax(1) == band
+            b = b[first & ((same.mean(1) - 1 / 256) / (1 - 1 / 256) >= least)]
+            for c in b:
+                if comp[c] == comp[a]:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[c], assume_unique=True))
+                if both >= similarity * (n[a] + n[c] - both) - 1e-9:
+                    left.append(a)
+                    right.append(c)
+                    comp[comp == comp[c]] = comp[a]
         i, j = ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))
         return pa.table([i, j], names=["a", "b"])
 
@@ -247,9 +274,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sig = checkpointed(sign(docs, "text", "id", counts))
     sets = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     reps = sig.where("n > 0").join(sets.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").dropDuplicates(["id"])
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
     lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
-    cand = checkpointed(keyed.join(lead, "key").select("key", "id", "lead"))
+    cand = checkpointed(keyed.join(lead, "key").select("key", "band", "id", "lead"))
     sketches = checkpointed(reps.select("id", "sketch", "n").join(cand.select("id").distinct(), "id", "left_semi"))
     texts = checkpointed(docs.dropDuplicates(["id"]).join(sketches.select("id"), "id", "left_semi")) if _repeats(docs) else checkpointed(docs.join(sketches.select("id"), "id", "left_semi"))
     sizes = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
@@ -257,7 +284,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     star = star.join(sizes("a"), "a").join(sizes("b"), "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
     edges = checkpointed(verify(star, sketches, texts, similarity, counts))
     comp = components(edges)
-    more = checkpointed(verify(_across(cand.select("key", "id"), comp, sketches, similarity), sketches, texts, similarity, counts))
+    more = checkpointed(_across(cand.select("key", "band", "id"), comp, sketches, texts, similarity, counts))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     members = sig.select("id", "n", "f1", "f2")
