@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 1e-8
@@ -38,6 +38,26 @@ class Sim3(NamedTuple):
     s: Column
 
 
+def staged(df: DataFrame, prefix: str, values: tuple) -> tuple[DataFrame, tuple]:
+    """df with the Columns of a (nested) tuple as columns, and the same tuple of references to them.
+
+    A Column holds its whole expression, so a long chain in which each step uses the last one several
+    times should be cut by this between its steps.
+    """
+    columns: dict[str, Column] = {}
+
+    def walk(v):
+        if isinstance(v, tuple):
+            made = [walk(x) for x in v]
+            return type(v)(*made) if hasattr(v, "_fields") else tuple(made)
+        name = f"{prefix}{len(columns)}"
+        columns[name] = v
+        return F.col(name)
+
+    out = walk(values)
+    return df.withColumns(columns), out
+
+
 def vec(*c: Column | str | float) -> Vec:
     return Vec(*(F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x)) for x in c))
 
@@ -320,13 +340,18 @@ def sim3_exp(tau: Vec, phi: Vec, sigma: Column) -> Sim3:
     return Sim3(add(add(scale(tau, c), scale(one, a)), scale(cross(phi, one), b)), so3_exp(phi), F.exp(sigma))
 
 
-def sim3_log(x: Sim3) -> tuple[Vec, Vec, Column]:
-    phi, sigma = so3_log(x.q), F.log(x.s)
+def sim3_jacobian(phi: Vec, sigma: Column) -> list[list[Column]]:
+    """The matrix that takes a tangent's translation part to the transform's translation."""
     c, a, b = _w_terms(phi, sigma)
     k = skew(phi)
     kk = mat_mul(k, k)
-    w = [[(c if i == j else F.lit(0.0)) + a * k[i][j] + b * kk[i][j] for j in range(3)] for i in range(3)]
-    return solve3(w, x.t), phi, sigma
+    return [[(c if i == j else F.lit(0.0)) + a * k[i][j] + b * kk[i][j] for j in range(3)] for i in range(3)]
+
+
+def sim3_log(x: Sim3) -> tuple[Vec, Vec, Column]:
+    """A deep expression: stage the rotation's logarithm and the Jacobian where many rows are at stake."""
+    phi, sigma = so3_log(x.q), F.log(x.s)
+    return solve3(sim3_jacobian(phi, sigma), x.t), phi, sigma
 
 
 def solve3(m: list[list[Column]], v: Vec) -> Vec:
