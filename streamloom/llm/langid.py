@@ -92,7 +92,7 @@ def build(languages: list[str], names: np.ndarray, gram: np.ndarray, n: np.ndarr
     kept = [b for b in np.argsort(-seen, kind="stable")[: SYMBOLS - 2] if seen[b] > 0]
     rank = np.ones(257, np.int64)
     rank[256] = 0
-    rank[np.sort(kept)] = np.arange(2, 2 + len(kept))
+    rank[np.sort(np.array(kept, np.int64))] = np.arange(2, 2 + len(kept))
     A = 2 + len(kept)
     spread = np.ones(A)
     spread[1] = max(1, 256 - len(kept))
@@ -110,7 +110,8 @@ def build(languages: list[str], names: np.ndarray, gram: np.ndarray, n: np.ndarr
     for k, name in enumerate(languages):
         m = names == name
         b, p1, p2, c3, w = parts[0][m], parts[1][m], parts[2][m], ctx3[m], n[m].astype(float)
-        uniform = np.tile(spread / 256.0, (1, 1))
+        uniform = (spread / 256.0)[None, :].copy()
+        uniform[0, 0] = 0.0  # the start of a text is no byte
         zero = np.bincount(b, w, A)[None, :]
         p_root = _level(zero, uniform, np.zeros((1, A)), zero)
         one = np.zeros((A, A))

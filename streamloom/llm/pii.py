@@ -72,6 +72,10 @@ def _listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
 
+def _marked(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind}]").alias("s")))
+
+
 def _based(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """id, the four kinds, and around each entity its words: computed once from the texts, and without them."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -142,7 +146,7 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Needs doc_id to be unique.
     """
     found = find(docs, text, doc_id).where(F.size(F.concat(*KINDS)) > 0)
-    marks = F.concat(*(F.transform(k, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k}]").alias("s"))) for k in KINDS), F.transform("term", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["s"] == "remove", "").otherwise("[term]").alias("s"))))
+    marks = F.concat(*(_marked(k) for k in KINDS), F.transform("term", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["s"] == "remove", "").otherwise("[term]").alias("s"))))
     spans = found.select(F.col("id").alias("marked_id"), F.array_sort(marks).alias("marks"))
     t = F.coalesce(F.col(text), F.lit(""))
 
