@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import algebra, frames, geometry, grids
+from . import algebra, frames, geometry, grids, more
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "algebra", "frames", "geometry", "grids"]
+__all__ = ["ORACLE_SQL", "QUERIES", "algebra", "frames", "geometry", "grids", "more"]
