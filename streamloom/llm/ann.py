@@ -22,7 +22,7 @@ DIRECTIONS = 8
 #: Probability with which the test keeps a neighbour.
 KEEP = 0.985
 #: Rows of a cell that are aimed at, rows of a leaf, and rows that the upper levels are fitted on.
-CELL_ROWS, LEAF_ROWS, SAMPLE_ROWS = 4096, 48, 1 << 16
+CELL_ROWS, LEAF_ROWS, SAMPLE_ROWS = 4096, 256, 1 << 16
 #: Candidates of each query and cell beyond k that are scored again exactly.
 SPARE = 12
 
@@ -137,8 +137,10 @@ def search_cell(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray,
                 d = np.maximum(2 - 2 * (uq[who] @ ux[rows].T), 0)
                 d[qid[who][:, None] == ids[rows][None, :]] = np.inf
                 alld, alli = np.concatenate([best_d[who], d], 1), np.concatenate([best_i[who], np.broadcast_to(rows, d.shape)], 1)
-                sel = np.argsort(alld, axis=1, kind="stable")[:, :top]
-                best_d[who], best_i[who] = np.take_along_axis(alld, sel, 1), np.take_along_axis(alli, sel, 1)
+                sel = np.argpartition(alld, top - 1, axis=1)[:, :top] if alld.shape[1] > top else np.broadcast_to(np.arange(top), (len(who), top))
+                near_d, near_i = np.take_along_axis(alld, sel, 1), np.take_along_axis(alli, sel, 1)
+                sel = np.argsort(near_d, axis=1)
+                best_d[who], best_i[who] = np.take_along_axis(near_d, sel, 1), np.take_along_axis(near_i, sel, 1)
     found = np.isfinite(best_d)
     return np.repeat(np.arange(len(q)), top).reshape(len(q), top)[found], best_i[found]
 
