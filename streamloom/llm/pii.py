@@ -99,9 +99,10 @@ def disclosures(docs: DataFrame, based: DataFrame, text: str) -> DataFrame:
         return joint.select("entity", "term", F.lit(0.0).alias("disclosure"))
     n = docs.count()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_TERM), F.lit(0)))).alias("term"))
-    # All words are counted before they meet the terms, so common ones among these don't multiply rows.
+    # All words are counted before they meet the terms, so common ones among these don't multiply rows
+    # (an inner join with distinct terms: the optimiser would move a semi-join below the count).
     words = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    words = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term", "left_semi")
+    words = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term")
     got = joint.join(words, "term")
     info = -F.log2(F.col("n_entity") / n)
     pmi = F.log2(F.col("n_pair") * F.lit(float(n)) / (F.greatest("n_term", "n_pair") * F.col("n_entity")))
