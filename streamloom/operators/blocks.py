@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .streams import place
+
 
 def coalesce(m: DataFrame) -> DataFrame:
     """Entries of the same place added up."""
@@ -72,7 +74,7 @@ def diagonal_inverse(m: DataFrame) -> DataFrame:
 
 def ravel_mapping(v: DataFrame) -> DataFrame:
     """Used ids with dense places from 0."""
-    return v.select("i").distinct().withColumn("at", (F.row_number().over(Window.orderBy("i")) - 1).cast("long"))
+    return place(v.select("i").distinct(), ["i"], "at")
 
 
 def ravel(m: DataFrame, rows: DataFrame, cols: DataFrame, height: int, width: int) -> DataFrame:

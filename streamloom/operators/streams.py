@@ -8,6 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import settled
+
 #: Annotations that a stream may carry.
 ATTRIBUTES = ("pose", "intrinsics", "camera_type", "instance", "mask", "metric_depth")
 
@@ -32,6 +34,20 @@ def number(rows: DataFrame, stream: list[str], order: list[str], name: str = "ra
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*stream).orderBy(*order)) - 1).cast("long"))
 
 
+def place(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows numbered from 0 by a total order, without bringing them into one task.
+
+    Rows are dealt out by ranges of the order and numbered within; what precedes a range is added from
+    a table of one row for each range.
+    """
+    part, = (c for c in ("_range",) if c not in rows.columns)
+    dealt = settled(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return dealt.withColumn("_inner", inner).join(F.broadcast(before), part).withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop(part, "_inner", "_before")
+
+
 def seek_length(n_frames: Column, start: int, end: int, step: int) -> Column:
     stop = F.least(n_frames, F.lit(end)) if end >= 0 else n_frames
     return F.greatest(F.ceil((stop - start) / F.lit(step)), F.lit(0)).cast("long")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import array_matrix, matrix_inverse, matrix_to_quat
+from ..operators.streams import place
 
 
 def camera_line(intrinsics: Column, width: int, height: int, camera_id: int = 1) -> Column:
@@ -23,6 +24,6 @@ def image_lines(poses: DataFrame, pose: str = "pose", frame: str = "frame_idx")
 
 def point_lines(points: DataFrame, order: list[str]) -> DataFrame:
     """point_id (from 1), line of map points x, y, z, r, g, b (colours 0..1)."""
-    n = points.withColumn("point_id", F.row_number().over(Window.orderBy(*order)))
+    n = place(points, order, "point_id").withColumn("point_id", F.col("point_id") + 1)
     eight = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) * 255).cast("int")
     return n.select("point_id", F.format_string("%d %.6f %.6f %.6f %d %d %d 0", "point_id", "x", "y", "z", eight("r"), eight("g"), eight("b")).alias("line"))
