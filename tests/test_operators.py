@@ -272,7 +272,7 @@ def test_map_points_and_warps(spark):
     still = {"rtx": 0.0, "rty": 0.0, "rtz": 0.0, "rqx": 0.0, "rqy": 0.0, "rqz": 0.0, "rqw": 1.0, **{f"{k}{n}": v for n in (1, 2) for k, v in (("fx", 4.0), ("fy", 4.0), ("cx", 2.0), ("cy", 2.0))}}
     cells = spark.createDataFrame([(0, v, u, float(v * 4 + u), 2.0) for v in range(4) for u in range(4)], "k int, v int, u int, value double, depth double")
     cells = cells.withColumns({n: F.lit(v) for n, v in still.items()})
-    got = {(r.v, r.u): r.value for r in maps.reprojected(cells, 4, 4, ["k"]).where("weight > 1e-9").collect()}
+    got = {(r.v, r.u): r.value for r in maps.reprojected(cells, 4, 4, ["k"]).where("weight > 1e-30").collect()}
     assert got == pytest.approx({(v, u): v * 4.0 + u for v in range(4) for u in range(4)})
     kept = maps.keep_consistent(spark.createDataFrame([(0, 1.0, 3, False), (0, 0.1, 3, False), (0, 1.0, 0, False), (0, 1.0, 3, True)], "kf int, disp double, n int, masked boolean"), F.col("n"), F.lit(5))
     assert kept.count() == 1
