@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import checkpointed, fresh
 
 #: Bits in a block: what bitmap_construct_agg builds.
 BLOCK_BITS = 32768
@@ -53,7 +53,8 @@ def mark_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", nam
     plain = [F.col(c) for c in cols]
     alone = tested.where(~maybe).select(*plain, F.col(doc_id).alias(keep), F.lit(1).cast("long").alias(size), F.lit(True).alias(kept), sha)
     again = tested.where(maybe).select(*plain, sha)
-    groups = again.groupBy(sha).agg(F.max(doc_id).alias(keep), F.count(F.lit(1)).alias(size))
+    # Written, so that both sides of the join are plain shuffles, of which adaptive execution splits a hot group's.
+    groups = checkpointed(again.groupBy(sha).agg(F.max(doc_id).alias(keep), F.count(F.lit(1)).alias(size)))
     joined = again.join(groups, sha)
     # Which of the rows that repeat the kept id itself stays is settled among these alone.
     same = F.col(doc_id).eqNullSafe(F.col(keep))

@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nameless = docs.where("id is null").select(F.col("id").alias(name), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     docs = docs.where("id is not null")
     sig = checkpointed(sign(docs, "text", "id", counts))
-    sets = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
+    sets = checkpointed(sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
     reps = sig.where("n > 0").join(sets.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").dropDuplicates(["id"])
     keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
     lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = sig.select("id", "n", "f1", "f2")
     owned = members.where("n > 0").join(sets.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep").unionByName(members.where("n = 0").select("id", F.col("id").alias("rep")))
     placed = owned.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
-    size = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    placed = checkpointed(placed)
+    size = checkpointed(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
     return placed.join(size, "class_id").select(F.col("id").alias(name), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept")).unionByName(nameless)
 
 
