@@ -153,3 +153,48 @@ def rigid_alignment(read):
     li = li.withColumn("x", F.col("px") + 0.3 * F.col("m0")).withColumn("y", F.col("py") + 0.3 * F.col("m3")).withColumn("z", F.col("pz") + 0.0)
     fits, offset = align.align_rigid(li, ["l_returnflag"], ["px", "py", "pz", *(f"m{k}" for k in range(9))], ["x", "y", "z"], 2)
     return rounded(fits.join(offset, "l_returnflag"), 4)
+
+
+@query(f"""WITH {GRID} SELECT vec_id, v, u FROM g WHERE v % 4 = 0 AND u % 4 = 0 UNION ALL SELECT vec_id, v, u FROM g WHERE v IN (2, 6) AND NOT (v % 4 = 0 AND u % 4 = 0)""")
+def sparse_patterns(read):
+    """Every fourth cell, and two scan lines."""
+    from ..operators import sampling
+
+    c = cells(read, 1 + F.abs(F.col("_x").cast("double")))
+    pick = lambda p: sampling.sparse_pattern(c, ["vec_id"], p, SIZE, SIZE).where("picked").select("vec_id", "v", "u")
+    return pick("downscale_4").unionByName(pick("LiDAR_2"))
+
+
+@query(f"""WITH {GRID} SELECT vec_id, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 10""")
+def sparse_random(read):
+    """Ten random cells of each grid: as many as asked for, on grids of 64."""
+    from ..operators import sampling
+
+    c = cells(read, 1 + F.abs(F.col("_x").cast("double")))
+    n = sampling.sparse_pattern(c, ["vec_id"], "10", SIZE, SIZE).groupBy("vec_id").agg(F.count_if("picked").alias("k"), F.count(F.lit(1)).alias("n"))
+    return n.where("k = 10").select("vec_id", "n")
+
+
+@query(f"""WITH {GRID}, d AS (SELECT vec_id, v, u, 1 + abs(x) AS d FROM g WHERE vec_id % 3 = 0 AND v % 4 = 0 AND u % 4 = 0 AND x > -0.1)
+SELECT vec_id AS frame_idx, v, u, round((u - 4) / 8.0 * d + vec_id, 6) AS x, round((v - 4) / 8.0 * d + 2, 6) AS y, round(d + 3, 6) AS z FROM d""")
+def colmap_depth_points(read):
+    from ..sources import colmap
+
+    c = cells(read).select(F.col("vec_id").alias("frame_idx"), "v", "u", (1 + F.abs("value")).alias("depth"), (F.col("value") > -0.1).alias("reliable"))
+    o, one = F.lit(0.0), F.lit(1.0)
+    pose = F.array(one, o, o, F.col("vec_id").cast("double"), o, one, o, F.lit(2.0), o, o, one, F.lit(3.0), o, o, o, one)
+    f = read("embeddings").select(F.col("vec_id").alias("frame_idx"), pose.alias("pose"), *(F.lit(v).alias(n) for n, v in (("fx", 8.0), ("fy", 8.0), ("cx", 4.0), ("cy", 4.0))))
+    return rounded(colmap.depth_points(c, f, 3, 4))
+
+
+@query("""SELECT n_nationkey, CAST(1 AS DOUBLE) AS length, round(cos(0.1 + n_nationkey / 50.0), 6) AS cosine FROM nation""")
+def direction_steps(read):
+    """A step along the sphere of directions: unit length, and turned by the step's size."""
+    from ..functions import geometry as geo
+    from ..operators import sampling
+
+    g = geo.gravity_from_rp(F.col("n_nationkey") / 30.0, F.lit(0.2))
+    size = 0.1 + F.col("n_nationkey") / 50.0
+    n, g = geo.staged(read("nation").select("n_nationkey"), "g", tuple(g))
+    h = sampling.direction_step(geo.Vec(*g), size * 0.6, size * 0.8)
+    return rounded(n.select("n_nationkey", geo.norm(h).alias("length"), geo.dot(h, g).alias("cosine")))
