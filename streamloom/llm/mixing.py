@@ -3,8 +3,9 @@
 The mix is a row of slots of equal token counts. Slot i is given to the source in whose interval of
 cumulative weights the golden-ratio point frac((i + 1) / phi) falls, so that every stretch of the mix
 holds the sources in their proportions. Each source's documents, in a hashed order, form a stream that
-is cut into blocks of one slot's tokens; slot number r of a source takes its block r, the stream being
-read again from its start when it ends. A block may begin and end inside a document.
+is cut into blocks of one slot's tokens, which its slots take in turn, the stream being read again from
+its start when it ends. A block may begin and end inside a document. What the whole slots of a source are
+above or below its target in whole words is settled between the sources, so each takes exactly that.
 
 A source is never ranked, summed or joined in one task: prefix sums and ranks are taken in two levels.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import checkpointed, fresh
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -76,8 +77,23 @@ def _positions(docs: DataFrame, source: str, size: str, order: Column, out: str)
     return docs.join(sums, F.col(source).eqNullSafe(F.col("bucket_source")) & (F.col(bucket) == F.col("bucket_no"))).withColumn(out, F.col(out) + F.col("bucket_start")).drop(bucket, rank, "bucket_source", "bucket_no", "bucket_start")
 
 
+def goals(targets: DataFrame, source: str = "source") -> DataFrame:
+    """targets with goal: the target in whole words; the largest fractions are rounded up, so that the goals add up to what the targets do."""
+    whole = F.floor("target")
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = Window.orderBy((F.col("target") - whole).desc(), F.col(source).asc_nulls_last())
+    spare = F.round(F.sum("target").over(everything)) - F.sum(whole).over(everything)
+    return targets.select("*", (whole + F.when(F.row_number().over(order) <= spare, 1).otherwise(0)).cast("long").alias("goal"))
+
+
 def slots(targets: DataFrame, tokens: int, source: str = "source") -> tuple[DataFrame, int]:
-    """(slot, source, rank of the slot in its source), and the tokens of a slot."""
+    """(slot, source, block, begin, end), and the tokens of a slot; targets are those with goals.
+
+    A slot takes the words from begin to end of its source's stream, which lie in that block of it. A
+    source that the points give too many slots leaves some of them, evenly spaced, and of the last one
+    what is above its goal; that room goes to the sources that the points give too few. So each source
+    takes its goal exactly, however long a slot is.
+    """
     spark = targets.sparkSession
     length = max(1, -(-tokens // SLOTS))
     n = -(-tokens // length)
@@ -87,12 +103,36 @@ def slots(targets: DataFrame, tokens: int, source: str = "source") -> tuple[Data
     share = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("int"))))
     point = (F.col("id") + 1) * F.lit(_GOLDEN)
     slot = spark.range(n).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    given = slot.join(share, "cell").where("u >= lo and u < hi").select("slot", "slot_source", F.floor(F.col("slot") / 1024).cast("int").alias("chunk"))
+    given = checkpointed(slot.join(share, "cell").where("u >= lo and u < hi").select("slot", "slot_source", F.floor(F.col("slot") / 1024).cast("int").alias("chunk")))
     counts = given.groupBy("slot_source", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    have = counts.groupBy("slot_source").agg(F.sum("n").alias("have")).withColumnRenamed("slot_source", "s")
     counts = counts.select(F.col("slot_source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(Window.partitionBy("slot_source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     given = given.withColumn("inner", F.row_number().over(Window.partitionBy("slot_source", "chunk").orderBy("slot")) - 1)
     given = given.join(counts, F.col("slot_source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-    return given.select("slot", "slot_source", (F.col("before") + F.col("inner")).alias("slot_rank")), length
+    given = given.select("slot", "slot_source", (F.col("before") + F.col("inner")).alias("slot_rank"))
+    # What the slots of a source hold above its goal, and in how many of them that is.
+    owed = targets.where("goal > 0 or target > 0").join(have, F.col(source).eqNullSafe(F.col("s")), "left").select(F.col(source).alias("owed_source"), "goal", F.coalesce("have", F.lit(0)).alias("have"))
+    owed = checkpointed(owed.withColumn("above", F.col("have") * length - F.col("goal")).withColumn("leave", F.ceil(F.greatest("above", F.lit(0)) / length)))
+    known = F.broadcast(owed) if owed.count() <= BROADCAST_SOURCES else owed
+    left = lambda r: F.floor(r * F.col("leave") / F.col("have"))
+    ranked = given.join(known, F.col("slot_source").eqNullSafe(F.col("owed_source")))
+    ranked = checkpointed(ranked.select("slot", "slot_source", "slot_rank", "goal", "have", "above", "leave", left(F.col("slot_rank")).alias("left"), left(F.col("slot_rank") + 1).alias("left_after")))
+    begin = (F.col("slot_rank") - F.col("left")) * length
+    full = F.col("left_after") < F.col("leave")
+    own = ranked.where((F.col("leave") == 0) | (F.col("left_after") == F.col("left")) | ~full)
+    own = own.select("slot", "slot_source", begin.alias("begin"), F.least(begin + length, F.col("goal")).alias("end")).where("begin < end")
+    room = ranked.where("left_after > left").select("slot", F.when(full, F.lit(length)).otherwise(F.col("above") - (F.col("leave") - 1) * length).alias("words"))
+    need = owed.where("above < 0").select("owed_source", (F.col("have") * length).alias("first"), (-F.col("above")).alias("words"))
+    # Rooms in the order of slots and needs in that of sources are laid side by side; stretches of one slot's length find them.
+    placed = lambda df, order, lo, hi: df.withColumn(hi, F.sum("words").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(lo, F.col(hi) - F.col("words")).drop("words").withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / length), F.floor((F.col(hi) - 1) / length))))
+    fill = placed(room, F.col("slot"), "room_lo", "room_hi").join(placed(need, F.col("owed_source").asc_nulls_last(), "need_lo", "need_hi"), "cell")
+    lo = F.greatest("room_lo", "need_lo", F.col("cell") * length)
+    hi = F.least("room_hi", "need_hi", (F.col("cell") + 1) * length)
+    fill = fill.where(lo < hi).select("slot", F.col("owed_source").alias("slot_source"), (F.col("first") + lo - F.col("need_lo")).alias("begin"), (F.col("first") + hi - F.col("need_lo")).alias("end"))
+    fill = fill.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / length), F.floor((F.col("end") - 1) / length))))
+    fill = fill.select("slot", "slot_source", "block", F.greatest("begin", F.col("block") * length).alias("begin"), F.least("end", (F.col("block") + 1) * length).alias("end"))
+    own = own.select("slot", "slot_source", F.floor(F.col("begin") / length).alias("block"), "begin", "end")
+    return own.unionByName(fill), length
 
 
 def plan(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
@@ -103,9 +143,9 @@ def plan(docs: DataFrame, source: str = "source", size: str = "size", doc_id: st
     taken, an empty table gives an empty schedule.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"))
-    targets = source_targets(base, weights=weights, most=most)
-    tokens = base.agg(F.sum("size")).first()[0] or 0
-    known = targets.select(F.col("source").alias("target_source"), "source_size", "target")
+    targets = checkpointed(goals(source_targets(base, weights=weights, most=most)))
+    tokens = targets.agg(F.sum("goal")).first()[0] or 0
+    known = targets.select(F.col("source").alias("target_source"), "source_size", "target", "goal")
     if targets.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
     full = base.where("size > 0").join(known, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
@@ -113,11 +153,10 @@ def plan(docs: DataFrame, source: str = "source", size: str = "size", doc_id: st
     given, length = slots(targets, tokens)
     # Read again up to `most` times, the stream's copies of a document start at start + k * source_size.
     copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int")))).where(F.col("epoch") < F.lit(most))
-    copies = copies.withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size"))
-    pieces = copies.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("size") - 1) / length))))
-    joined = pieces.join(given, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_rank")))
-    lo = F.greatest(F.col("at"), F.col("block") * length)
-    hi = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * length)
+    copies = copies.withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size")).where("at < goal")
+    pieces = copies.withColumn("stream_block", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("size") - 1) / length))))
+    lo, hi = F.greatest("at", "begin"), F.least(F.col("at") + F.col("size"), F.col("end"))
+    joined = pieces.join(given, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("stream_block") == F.col("block"))).where(lo < hi)
     return joined.select("slot", "doc_id", "source", "epoch", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words")), targets
 
 

@@ -365,6 +365,21 @@ def test_mix_of_odd_rows(spark, odd, none):
     assert mixing.mix(odd.where("doc_id <> 6")).columns == odd.columns
 
 
+def test_small_sources_of_a_large_mix_hit_their_targets(spark):
+    """A slot of 5 G words is 4,769 words long; the sources' targets below that are met all the same."""
+    many = [(k, "a", 50_000_000) for k in range(100)] + [(1000 + k, f"s{k}", 100 * (1 + k * k)) for k in range(12)] + [(2000, None, 7)]
+    df = spark.createDataFrame(many, "doc_id long, source string, size long")
+    schedule, targets = mixing.plan(df)
+    want = {r.source: r.target for r in targets.collect()}
+    parts = schedule.groupBy("source").agg(F.sum("words").alias("n"), F.max("words").alias("most")).collect()
+    assert {r.source for r in parts} == set(want)
+    assert all(abs(r.n - want[r.source]) <= 1 for r in parts)
+    assert schedule.groupBy("slot").agg(F.sum("words").alias("n")).where("n > 4769").isEmpty()
+    # What is taken of a reading has no gap and no overlap.
+    readings = schedule.where("source is null or source <> 'a'").groupBy("doc_id", "epoch").agg(F.min("from_word").alias("lo"), F.max(F.col("from_word") + F.col("words")).alias("hi"), F.sum("words").alias("n"))
+    assert readings.where("lo <> 0 or hi <> n").isEmpty()
+
+
 # -- toxicity and quality ----------------------------------------------------------------------
 
 
