@@ -9,8 +9,8 @@ and a signature of k coordinates takes about max(n, k ln k) darts, not n * k.
 Documents of equal shingle sets are one from then on. Buckets of bands propose pairs with the bucket's
 smallest id; pairs that the signatures don't rule out are verified on whole texts, and make components.
 Where a bucket still holds several components, its members of different components are compared in
-blocks, by signatures and then by whole shingle sets, in the first bucket that a pair shares. Only links
-that join components leave a block, so that no link is lost and the pairs of a group are never listed.
+blocks, by signatures and then by whole shingle sets, in the first bucket that a pair shares (by the
+buckets' own keys: sketches agree by chance where buckets don't). Only links that join components leave a block, so that the pairs of a group are never listed and none is passed over.
 """
 
 from __future__ import annotations
@@ -146,6 +146,12 @@ def _bytes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
 
 
+def _lists(column) -> np.ndarray:
+    """The keys of each row's bands."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), BANDS)
+
+
 def verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, counts: bool) -> DataFrame:
     """The pairs (a, b) of at least the similarity: those that the sketches don't rule out are compared on whole texts."""
     kind = dict(pairs.dtypes)["a"]
@@ -222,7 +228,7 @@ def _across(cand: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFr
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     rows = known.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     ids = rows.select("id").distinct()
-    facts = sketches.select("id", "sketch", "n").join(ids, "id", "left_semi").join(_sets(texts.join(ids, "id", "left_semi"), counts), "id")
+    facts = sketches.select("id", "sketch", "n", "bands").join(ids, "id", "left_semi").join(_sets(texts.join(ids, "id", "left_semi"), counts), "id")
     # Every member goes to each pairing of its part with another, as one side or as both.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", "band", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
@@ -233,6 +239,7 @@ def _across(cand: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFr
         ids, x, part = group.column("id"), _bytes(group.column("sketch")), np.array(group.column("part"))
         n, p, q, band = np.array(group.column("n")), group.column("p")[0].as_py(), group.column("q")[0].as_py(), group.column("band")[0].as_py()
         comp = np.unique(np.array(group.column("component").to_pylist()), return_inverse=True)[1].reshape(-1)
+        keys = _lists(group.column("bands"))
         sets = [np.frombuffer(v, np.uint64) for v in group.column("set").to_pylist()]
         left, right = [], []
         A, B = np.flatnonzero(part == p), np.flatnonzero(part == q)
@@ -241,9 +248,8 @@ def _across(cand: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFr
             b = b[(comp[b] != comp[a]) & (np.minimum(n[b], n[a]) >= similarity * np.maximum(n[b], n[a]))]
             if not len(b):
                 continue
-            same = x[b] == x[a]
-            first = same.reshape(len(b), BANDS, ROWS).all(2).argmax(1) == band
-            b = b[first & ((same.mean(1) - 1 / 256) / (1 - 1 / 256) >= least)]
+            first = (keys[b] == keys[a]).argmax(1) == band
+            b = b[first & (_estimate(x[b], x[a]) >= least)]
             for c in b:
                 if comp[c] == comp[a]:
                     continue
@@ -277,7 +283,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
     lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
     cand = checkpointed(keyed.join(lead, "key").select("key", "band", "id", "lead"))
-    sketches = checkpointed(reps.select("id", "sketch", "n").join(cand.select("id").distinct(), "id", "left_semi"))
+    sketches = checkpointed(reps.select("id", "sketch", "n", "bands").join(cand.select("id").distinct(), "id", "left_semi"))
     texts = checkpointed(docs.dropDuplicates(["id"]).join(sketches.select("id"), "id", "left_semi")) if _repeats(docs) else checkpointed(docs.join(sketches.select("id"), "id", "left_semi"))
     sizes = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
     star = cand.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()

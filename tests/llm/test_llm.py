@@ -303,6 +303,18 @@ def test_near_copies_of_odd_rows(spark, odd, none):
     assert minhash.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_a_pair_meets_in_its_first_bucket_though_sketches_agree_before(spark):
+    """Sketches of all bands agree, by chance before band 5, whose bucket is the only one that the pair shares."""
+    words = [f"w{k}" for k in range(60)]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"]))], "id long, text string")
+    keys = [[100 * i + k if k != 5 else 77 for k in range(minhash.BANDS)] for i in (1, 2)]
+    sketches = spark.createDataFrame([(i, bytes(minhash.COORDINATES), 56, keys[i - 1]) for i in (1, 2)], "id long, sketch binary, n long, bands array<bigint>")
+    cand = spark.createDataFrame([(77, 5, 1), (77, 5, 2)], "key long, band int, id long")
+    comp = spark.createDataFrame([], "id long, component long")
+    got = minhash._across(cand, comp, sketches, texts, 0.8, False).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 2)]
+
+
 @pytest.mark.parametrize("weights", [False, True])
 def test_signatures_estimate_similarity(weights):
     r = random.Random(3)
