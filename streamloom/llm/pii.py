@@ -6,10 +6,10 @@ information over the corpus, relative to the entity's information content:
 
     disclosure(t, e) = log2(p(t, e) / (p(t) p(e))) / -log2(p(e))
 
-which is 1 where the term occurs only with the entity. p(t, e) and p(e) count distinct contexts (the
-words around an occurrence), so that copies of a passage count once; p(t) counts all documents. In
-documents that hold the entity, terms from REMOVE on are removed and from GENERALISE on generalised.
-A pair needs SUPPORT distinct contexts: what was seen once is no estimate.
+which is 1 where the term occurs only with the entity. All three count documents, wherever in them the
+term and the entity stand; words within base spans don't count. In documents that hold the entity, terms
+from REMOVE on are removed and from GENERALISE on generalised. A pair needs SUPPORT documents of
+different texts: what was seen once, or in copies of one text, is no estimate.
 
 The patterns are those of the base kinds written with possessive quantifiers and, for e-mail and IP,
 with starts at the edge of a run only; that finds the same matches in time linear in the text.
@@ -29,7 +29,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-WINDOW = 60
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: Candidate terms up to which they are broadcast.
 BROADCAST_TERMS = 200_000
@@ -77,28 +76,36 @@ def _marked(kind: str) -> Column:
 
 
 def _based(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """id, the four kinds, and around each entity its words: computed once from the texts, and without them."""
+    """id, the four kinds, and of a document with entities these, its words and its digest: computed once from the texts, and without them."""
     t = F.coalesce(F.col(text), F.lit(""))
     spans = base_spans(F.col("t"))
     rows = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select("id", "t", *(c.alias(k) for k, c in spans.items()))
-    near = lambda x: F.struct(F.lower(x["s"]).alias("entity"), F.lower(F.concat_ws(" ", F.substring(F.col("t"), F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, F.least(x["start"], F.lit(WINDOW))), F.substring(F.col("t"), x["end"] + 1, F.lit(WINDOW)))).alias("around"))
-    entities = F.concat(*(F.transform(k, near) for k in KINDS))
-    return rows.select("id", *KINDS, F.when(F.size(F.concat(*KINDS)) > 0, entities).alias("entities"))
+    entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda x: F.lower(x["s"])))
+    some = F.size(F.concat(*KINDS)) > 0
+    rest = F.regexp_replace("t", EMAIL, " ")  # the one kind that holds letters
+    return rows.select("id", *KINDS, F.when(some, entities).alias("entities"), F.when(some, _terms(rest)).alias("words"), F.when(some, F.sha2("t", 256)).alias("sha"))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
 def disclosures(docs: DataFrame, based: DataFrame, text: str) -> DataFrame:
     """entity, term, disclosure of the pairs at GENERALISE or above."""
-    seen = based.where("entities is not null").select(F.explode("entities").alias("e")).select("e.entity", "e.around").distinct()
-    pairs = seen.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(_TERM), F.lit(0)))).alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
-    each = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    texts = based.where("entities is not null").groupBy("sha").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
+    texts = checkpointed(texts.drop("sha"))
+    often = lambda name: (F.sum("copies").alias(name), F.count(F.lit(1)).alias("texts"))
+    each = checkpointed(texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(*often("n_entity")).where(F.col("texts") >= SUPPORT).drop("texts"))
+    seen = texts.select(F.explode("entities").alias("entity"), "words", "copies").join(each.select("entity"), "entity")
+    pairs = seen.select("entity", "copies", F.explode("words").alias("term"))
+    joint = pairs.groupBy("entity", "term").agg(*often("n_pair")).where(F.col("texts") >= SUPPORT).drop("texts")
     joint = checkpointed(joint.join(each, "entity"))
     terms = joint.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
         return joint.select("entity", "term", F.lit(0.0).alias("disclosure"))
     n = docs.count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     # All words are counted before they meet the terms, so common ones among these don't multiply rows
     # (an inner join with distinct terms: the optimiser would move a semi-join below the count).
     words = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
@@ -121,7 +128,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     plain = based.select("id", *KINDS, none.alias("term"))
     if told.isEmpty():
         return plain
-    held = based.where("entities is not null").select("id", F.explode("entities").alias("e")).select("id", F.col("e.entity").alias("entity")).distinct()
+    held = based.where("entities is not null").select("id", F.explode("entities").alias("entity")).distinct()
     per = held.join(told, "entity").groupBy("id", "term").agg(F.max("disclosure").alias("d")).groupBy(F.col("id").alias("told_id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("terms"))
     per = checkpointed(per)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(per, F.col("id").eqNullSafe(F.col("told_id")))

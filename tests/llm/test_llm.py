@@ -215,6 +215,21 @@ def test_terms_that_reveal_an_entity(spark):
     assert "Zebulon" not in clean[0] and "[email]" in clean[0] and clean[200] == t[200]
 
 
+def test_terms_far_from_an_entity_or_in_a_fixed_signature(spark):
+    """What reveals an entity may stand anywhere in its documents, and with the same words around it in all."""
+    r = random.Random(3)
+    filler = lambda n: " ".join(r.choice(["about", "there", "which", "other", "would"]) for _ in range(n))
+    t = [f"Zebulon wrote {filler(60)} zeb@mail.example.org {filler(20)}" for _ in range(6)]
+    t += [f"{filler(40)} with my best regards as ever, Ottokar of the Quillfeather company in this town, phone or write: ott@mail.example.org or come by there at any time of day or night if you like, thank you" for _ in range(6)]
+    t += [f"{filler(12)} copy@mail.example.org Wintermute"] * 6 + [f"{filler(30)} wrote with best regards ever company this town phone write come time night like thank" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    got = {x.doc_id: x.spans.split(",") for x in pii.digests(pii.find(df)).collect()}
+    for k, names in [(0, ["Zebulon"]), (6, ["Ottokar", "Quillfeather"])]:
+        for name in names:
+            assert all(f"term:{t[i].index(name)}:{t[i].index(name) + len(name)}" in got[i] for i in range(k, k + 6))
+    assert not any(s.startswith("term") for k in range(12, len(t)) for s in got[k])
+
+
 # -- repeated passages -------------------------------------------------------------------------
 
 
