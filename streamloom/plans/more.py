@@ -149,9 +149,9 @@ def rigid_alignment(read):
     one, o = F.lit(1.0), F.lit(0.0)
     a = F.col("l_quantity") / 10
     c, s = F.cos(a), F.sin(a)
-    li = read("lineitem").where("l_orderkey < 400").select("l_returnflag", F.col("l_quantity").alias("px"), (F.col("l_discount") * 100).alias("py"), (F.col("l_tax") * 100).alias("pz"), *(e.alias(f"m{k}") for k, e in enumerate((c, -s, o, s, c, o, o, o, one))))
+    li = read("lineitem").select("l_returnflag", F.col("l_quantity").alias("px"), (F.col("l_discount") * 100).alias("py"), (F.col("l_tax") * 100).alias("pz"), *(e.alias(f"m{k}") for k, e in enumerate((c, -s, o, s, c, o, o, o, one))))
     li = li.withColumn("x", F.col("px") + 0.3 * F.col("m0")).withColumn("y", F.col("py") + 0.3 * F.col("m3")).withColumn("z", F.col("pz") + 0.0)
-    fits, offset = align.align_rigid(li, ["l_returnflag"], ["px", "py", "pz", *(f"m{k}" for k in range(9))], ["x", "y", "z"], 2)
+    fits, offset = align.align_rigid(li, ["l_returnflag"], ["px", "py", "pz", *(f"m{k}" for k in range(9))], ["x", "y", "z"])
     return rounded(fits.join(offset, "l_returnflag"), 4)
 
 

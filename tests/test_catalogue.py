@@ -23,6 +23,22 @@ def test_query(spark, con, name):
     assert rows(got) == rows(want)
 
 
+def test_rigid_alignment_uses_all_orders(spark, tmp_path):
+    """Orders from 400 on alone: each flag's lever arm of 0.3 is found from them."""
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").where("l_orderkey >= 400")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["rigid_alignment"](spark, str(tmp_path)).collect()
+    assert {r.l_returnflag for r in got} == {r[0] for r in lines.select("l_returnflag").distinct().collect()}
+    assert all(abs(r.o0 - 0.3) < 1e-2 and abs(r.o1) < 1e-2 and abs(r.scale - 1) < 1e-2 for r in got)
+
+
+def test_proximity_greedy_takes_whole_streams(spark, con):
+    got = catalogue.QUERIES["proximity_greedy"](spark, SMALL).toPandas()
+    sizes = dict(con.execute("SELECT user_id, count(*) FROM events GROUP BY 1").fetchall())
+    assert max(sizes.values()) > 40
+    assert {s: set(g.i) for s, g in got.groupby("stream_id")} == {s: set(range(n)) for s, n in sizes.items() if n > 1}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
