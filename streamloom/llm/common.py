@@ -151,8 +151,8 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints of all words in order, words before each document); words are runs of bytes that keep marks.
+def word_spans(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, starts, ends of all words in order, words before each document); words are runs of bytes that keep marks.
 
     By default words are divided by ASCII white space; none reaches over the end of a document.
     """
@@ -163,5 +163,10 @@ def words(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) ->
     after = np.concatenate([inside, [False]])
     starts = np.flatnonzero(after & (~before | edge))
     ends = np.flatnonzero(before & (~after | edge))
-    h = mix(window(prefix_hash(buf), starts, ends))
-    return h, np.searchsorted(starts, offs)
+    return mix(window(prefix_hash(buf), starts, ends)), starts, ends, np.searchsorted(starts, offs)
+
+
+def words(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of all words in order, words before each document), as word_spans has them."""
+    h, _, _, first = word_spans(buf, offs, keep)
+    return h, first
