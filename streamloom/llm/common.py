@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +37,19 @@ def fold(doc_id: str, modulus: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one is made only where it names none (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it names none, the warehouse holds one, which all executors share; an error where that is a
+    local folder of a driver on a cluster.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+            if not sc.master.startswith("local") and folder.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -50,6 +59,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of what is no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets from 0) of consecutive rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -9,8 +9,8 @@ and a signature of k coordinates takes about max(n, k ln k) darts, not n * k.
 Documents of equal shingle sets are one from then on. Buckets of bands propose pairs with the bucket's
 smallest id; pairs that the signatures don't rule out are verified on whole texts, and make components.
 Where a bucket still holds several components, its members of different components are compared in
-blocks, by signatures and then by whole shingle sets, in the first bucket that a pair shares (by the
-buckets' own keys: sketches agree by chance where buckets don't). Only links that join components leave a block, so that the pairs of a group are never listed and none is passed over.
+blocks, by signatures and then by whole shingle sets, in the first bucket that a pair shares (by four
+bytes of the buckets' own keys). Only links that join components leave a block, so that the pairs of a group are never listed and none is passed over.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, text_blocks, words
+from .common import checkpointed, fresh, mix, release, text_blocks, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and coordinates in each: a pair of similarity 0.8 shares none with a probability of 5e-6.
@@ -206,32 +206,39 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _sets(texts: DataFrame, counts: bool) -> DataFrame:
-    """id, set: the sorted shingles of a text as 64-bit fingerprints."""
-    kind = dict(texts.dtypes)["id"]
+def _digests(sketches: DataFrame) -> DataFrame:
+    """id, n, sketch, digest (four bytes of each band's key)."""
+    kind = dict(sketches.dtypes)["id"]
 
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offs in text_blocks(batch.column(1)):
-                doc, s = shingles(buf, offs, counts)
-                each = np.split(s, np.searchsorted(doc, np.arange(1, hi - lo)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([np.sort(x).tobytes() for x in each], pa.binary())], names=["id", "set"])
+            keys = (_lists(batch.column(3)).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "n", "sketch", "digest"])
 
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, set binary")
+    return sketches.select("id", "n", "sketch", "bands").mapInArrow(run, f"id {kind}, n long, sketch binary, digest binary")
 
 
 def _across(cand: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, counts: bool) -> DataFrame:
-    """Links between members of one bucket that are in different components, compared in blocks of members."""
+    """Links between members of one bucket that are in different components, compared in blocks of members.
+
+    Members of a bucket's largest component meet the others, not each other. A group's rows carry texts,
+    which near copies side by side compress far better than fingerprints of their shingles do.
+    """
     kind = dict(cand.dtypes)["id"]
     least = _floor(similarity)
     known = cand.join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows = known.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    ids = rows.select("id").distinct()
-    facts = sketches.select("id", "sketch", "n", "bands").join(ids, "id", "left_semi").join(_sets(texts.join(ids, "id", "left_semi"), counts), "id")
-    # Every member goes to each pairing of its part with another, as one side or as both.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", F.col("big.component").alias("big"), parts(F.col("n") - F.col("big.n")).alias("few"), parts(F.col("big.n")).alias("many"))
+    rows = known.join(mixed, "key")
+    small, part = F.col("component") != F.col("big"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    # Parts of the largest component are numbered after the others'. A pairing is of two parts, the first not of the largest.
+    rows = rows.withColumn("part", F.when(small, part(F.col("few"))).otherwise(F.col("few") + part(F.col("many"))))
+    rows = rows.withColumn("other", F.explode(F.when(small, F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))))
     rows = rows.select("key", "band", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    ids = rows.select("id").distinct()
+    facts = _digests(sketches.join(ids, "id", "left_semi")).join(texts.select("id", "text"), "id")
     rows = rows.join(facts, "id")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -239,8 +246,11 @@ def _across(cand: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFr
         ids, x, part = group.column("id"), _bytes(group.column("sketch")), np.array(group.column("part"))
         n, p, q, band = np.array(group.column("n")), group.column("p")[0].as_py(), group.column("q")[0].as_py(), group.column("band")[0].as_py()
         comp = np.unique(np.array(group.column("component").to_pylist()), return_inverse=True)[1].reshape(-1)
-        keys = _lists(group.column("bands"))
-        sets = [np.frombuffer(v, np.uint64) for v in group.column("set").to_pylist()]
+        keys = np.frombuffer(b"".join(group.column("digest").to_pylist()), np.uint32).reshape(-1, BANDS)
+        sets = []
+        for lo, hi, buf, offs in text_blocks(group.column("text")):
+            doc, s = shingles(buf, offs, counts)
+            sets += np.split(s, np.searchsorted(doc, np.arange(1, hi - lo)))
         left, right = [], []
         A, B = np.flatnonzero(part == p), np.flatnonzero(part == q)
         for a in A:
@@ -271,7 +281,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     similarity of at least `similarity` (with counts: weighted by repetitions); class_id is the
     smallest doc_id of the class, whose document is kept. A null or empty text is alike to nothing but
     other empty texts' rows of the same id, so each is a class of its own; a row without doc_id is kept
-    with a null class. Rows that repeat a doc_id with other text share the id's class.
+    with a null class. Rows that repeat a doc_id with other text share the id's class. Of documents that
+    tie the smallest id stays; an empty table gives an empty result; other columns are left out.
     """
     name = doc_id
     docs = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -289,10 +300,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     star = cand.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(sizes("a"), "a").join(sizes("b"), "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
     edges = checkpointed(verify(star, sketches, texts, similarity, counts))
+    release(docs.sparkSession)
     comp = components(edges)
     more = checkpointed(_across(cand.select("key", "band", "id"), comp, sketches, texts, similarity, counts))
+    del cand, sketches, texts, star
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
+    release(docs.sparkSession)
     members = sig.select("id", "n", "f1", "f2")
     owned = members.where("n > 0").join(sets.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep").unionByName(members.where("n = 0").select("id", F.col("id").alias("rep")))
     placed = owned.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
@@ -308,5 +322,6 @@ def _repeats(docs: DataFrame) -> bool:
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class of near-duplicates; columns unchanged."""
-    marked = near_duplicates(docs, text, doc_id, similarity).where(~F.col("kept")).select(F.col(doc_id).alias("dropped_id"))
-    return docs.join(marked.distinct(), F.col(doc_id) == F.col("dropped_id"), "left_anti")
+    dropped, = fresh(docs, "dropped_id")
+    marked = near_duplicates(docs, text, doc_id, similarity).where(~F.col("kept")).select(F.col(doc_id).alias(dropped))
+    return docs.join(marked.distinct(), F.col(doc_id) == F.col(dropped), "left_anti")

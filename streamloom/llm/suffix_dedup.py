@@ -20,15 +20,13 @@ each name or segment once, or twice where it holds it more often, so that copies
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, powers, prefix_hash, text_blocks, window
+from .common import checkpointed, mix, powers, prefix_hash, release, text_blocks, window
 
 LENGTH = 400
 #: A perfect difference set modulo 16 * 16 + 16 + 1; every difference occurs once.
@@ -250,12 +248,6 @@ def _parts(table: pa.Table) -> list[Part]:
     return [Part(buf, offs) for _, _, buf, offs in text_blocks(table.column("text"))]
 
 
-def _release(spark) -> None:
-    """Let Spark remove the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) for every row.
 
@@ -303,10 +295,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     blank = F.lit(None).cast("long").alias("name")
     told = checkpointed(rows.select("text", "block").mapInArrow(sample, _NAMES).groupBy("bucket").applyInArrow(_sort_samples, _NAMES).select("block", blank, "names"))
-    _release(spark)
+    release(spark)
     sent = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, _SEGMENTS)
     more = checkpointed(sent.groupBy("bucket").applyInArrow(_sort_segments, _ANSWERS))
-    _release(spark)
+    release(spark)
     return rows.groupBy("block").cogroup(told.unionByName(more).groupBy("block")).applyInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", doc_id)
 
 
