@@ -138,8 +138,8 @@ def slots(targets: DataFrame, tokens: int, source: str = "source") -> tuple[Data
 def plan(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
     """(schedule, targets): for each slot the stretches of documents that it takes.
 
-    schedule: slot, doc_id, source, epoch (how often the source was read before), from_word, words. docs needs doc_id, source and size (words) and any
-    number of rows for a doc_id; a null source is a source of its own, documents of no words are never
+    schedule: slot, doc_id, source, epoch (how often the source was read before), from_word, words, size
+    (of the document). docs needs doc_id, source and size (words) and any number of rows for a doc_id; a null source is a source of its own, documents of no words are never
     taken, an empty table gives an empty schedule.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"))
@@ -157,41 +157,51 @@ def plan(docs: DataFrame, source: str = "source", size: str = "size", doc_id: st
     pieces = copies.withColumn("stream_block", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("size") - 1) / length))))
     lo, hi = F.greatest("at", "begin"), F.least(F.col("at") + F.col("size"), F.col("end"))
     joined = pieces.join(given, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("stream_block") == F.col("block"))).where(lo < hi)
-    return joined.select("slot", "doc_id", "source", "epoch", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words")), targets
+    return joined.select("slot", "doc_id", "source", "epoch", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words"), "size"), targets
 
 
 def taken(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted) for every row.
 
-    Rows that repeat a doc_id within a source share what the mix takes of that id.
+    Rows that repeat a doc_id within a source share in proportion to their sizes, rounded down, what the
+    mix takes of that id. A null size counts as 0, of which nothing is taken; an empty table gives an
+    empty result.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"))
+    base = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")))
     schedule, targets = plan(base, weights=weights, most=most)
     known = targets.select(F.col("source").alias("target_source"), "source_size", "target")
     if targets.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    per = schedule.groupBy("doc_id", "source").agg(F.sum("words").alias("taken"))
-    per = per.select(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), "taken")
+    per = schedule.select("doc_id", "source", F.col("words").alias("taken"), F.lit(0).cast("long").alias("whole"))
+    per = per.unionByName(base.select("doc_id", "source", F.lit(0).cast("long").alias("taken"), F.col("size").alias("whole"))).groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.sum("whole").alias("whole"))
+    per = checkpointed(per.select(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), "taken", "whole"))
     out = base.join(known, F.col("source").eqNullSafe(F.col("target_source")), "left")
     out = out.join(per, F.col("doc_id").eqNullSafe(F.col("taken_id")) & F.col("source").eqNullSafe(F.col("taken_source")), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    own = F.when(F.col("whole") == F.col("size"), F.col("taken")).when(F.col("whole") > 0, F.floor(F.col("taken") * (F.col("size") / F.col("whole"))))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce(own, F.lit(0)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", n_chars: str = "n_chars", weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """The mix as rows of docs: one for each reading of a document, holding the words that the mix takes then.
 
     A document that is taken whole keeps its text as it is; of one taken in part (the last of a source's
-    slots ends in it) the words taken are joined by spaces and n_chars is counted anew. Needs doc_id to
-    be unique within a source; columns are those of docs.
+    slots ends in it) the words taken are joined by spaces and n_chars is counted anew. Rows that repeat
+    a doc_id within a source are documents of their own; null and empty texts have no words and are
+    never taken; an empty table gives an empty result. Columns, whatever their names, are those of docs.
     """
-    size, copy_id, copy_source = fresh(docs, "mix_size", "mix_id", "mix_source")
-    sized = docs.withColumn(size, count_words(F.col(text)))
-    schedule, _ = plan(sized.select(doc_id, source, size), source, size, doc_id, weights, most)
-    readings = schedule.groupBy(F.col("doc_id").alias(copy_id), F.col("source").alias(copy_source), "epoch").agg(F.min("from_word").alias("mix_from"), F.sum("words").alias("mix_words"))
-    rows = sized.join(readings, F.col(doc_id).eqNullSafe(F.col(copy_id)) & F.col(source).eqNullSafe(F.col(copy_source)))
-    part = F.concat_ws(" ", F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.col("mix_from").cast("int") + 1, F.col("mix_words").cast("int")))
-    kept = F.when(F.col("mix_words") == F.col(size), F.col(text)).otherwise(part)
-    out = rows.withColumn(text, kept)
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("mix_words") == F.col(size), F.col(n_chars)).otherwise(F.length(text)).cast(dict(docs.dtypes)[n_chars]))
-    return out.select(*docs.columns)
+    size, copy_id, copy_source, epoch, start, words, whole, tag = fresh(docs, "mix_size", "mix_id", "mix_source", "epoch", "mix_from", "mix_words", "mix_whole", "mix_tag")
+    columns, key = docs.columns, doc_id
+    sized = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size")))
+    if not sized.groupBy("doc_id", "source").count().where("count > 1").isEmpty():
+        # Numbered rows stand for ids, written with their texts so that the numbers last.
+        docs, key = checkpointed(docs.withColumn(tag, F.monotonically_increasing_id())), tag
+        sized = checkpointed(docs.select(F.col(tag).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size")))
+    schedule, _ = plan(sized, weights=weights, most=most)
+    readings = schedule.groupBy(F.col("doc_id").alias(copy_id), F.col("source").alias(copy_source), F.col("epoch").alias(epoch)).agg(F.min("from_word").alias(start), F.sum("words").alias(words), F.first("size").alias(size))
+    rows = docs.join(readings, F.col(key).eqNullSafe(F.col(copy_id)) & F.col(source).eqNullSafe(F.col(copy_source)))
+    rows = rows.withColumn(whole, F.col(words) == F.col(size))
+    part = F.concat_ws(" ", F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.col(start).cast("int") + 1, F.col(words).cast("int")))
+    out = rows.withColumn(text, F.when(F.col(whole), F.col(text)).otherwise(part))
+    if n_chars in columns:
+        out = out.withColumn(n_chars, F.when(F.col(whole), F.col(n_chars)).otherwise(F.length(text)).cast(dict(docs.dtypes)[n_chars]))
+    return out.select(*columns)
