@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a task remembers; it forgets them all when there are more.
+#: Pieces that a task remembers; it forgets them all when there are more, and at its end.
 MEMO = 300_000
 #: Pieces longer than this are not remembered.
 MEMO_LENGTH = 64
@@ -162,6 +162,10 @@ class _Memo(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.last = {}, {}
+
     def _packed(self, tokens: list[int]) -> bytes:
         return b"".join(self.whole[self.v.tokens[t]] for t in tokens)
 
@@ -215,6 +219,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.find(text)))
 
+    def forget(self) -> None:
+        """Drop what was remembered, but for the vocabulary."""
+        self.memo.forget()
+        self.vocabulary.valid.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, memoryview(ids).cast("I")))
 
@@ -245,6 +254,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id:
                 part = batch.slice(lo, 256)
                 ids = [e.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([e.decode(i) for i in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
+        e.forget()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
@@ -264,5 +274,6 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text: str = "text",
                 hashed.append(sha(ids))
                 back.append(sha(e.decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashed, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
