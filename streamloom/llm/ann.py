@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Projected dimensions (even, for the closed form of the chi-square law).
 DIRECTIONS = 8
 #: Probability with which the test keeps a neighbour.
 KEEP = 0.985
-#: Rows of a cell that are aimed at, rows of a leaf, and rows that the upper levels are fitted on.
-CELL_ROWS, LEAF_ROWS, SAMPLE_ROWS = 4096, 256, 1 << 16
-#: Candidates of each query and cell beyond k that are scored again exactly.
-SPARE = 12
+#: Rows of a cell that are aimed at, rows of a leaf, and rows that the upper levels are fitted on, with those of a cell at least.
+CELL_ROWS, LEAF_ROWS, SAMPLE_ROWS, SAMPLE_LEAF = 4096, 256, 1 << 16, 16
+#: Candidates of each query and cell beyond k that are scored again exactly: of those farther than this below the k-th all, of the others the smallest ids.
+SPARE, TIE = 12, 1e-11
 
 
 def chi_square_bound(p: float, m: int = DIRECTIONS) -> float:
@@ -127,7 +129,7 @@ def search_cell(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray,
         for r in range(count):
             at = near[live, r]
             worst = np.minimum(best_d[a + live, k - 1], bound[a + live])
-            live_now = away[live, at] <= worst * limit
+            live_now = away[live, at] <= (worst + TIE) * limit + TIE
             live, at = live[live_now], at[live_now]
             if not len(live):
                 break
@@ -137,9 +139,13 @@ def search_cell(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray,
                 d = np.maximum(2 - 2 * (uq[who] @ ux[rows].T), 0)
                 d[qid[who][:, None] == ids[rows][None, :]] = np.inf
                 alld, alli = np.concatenate([best_d[who], d], 1), np.concatenate([best_i[who], np.broadcast_to(rows, d.shape)], 1)
-                sel = np.argpartition(alld, top - 1, axis=1)[:, :top] if alld.shape[1] > top else np.broadcast_to(np.arange(top), (len(who), top))
+                # Those nearer than the k-th by more than a rounding error, then those that tie with it by their ids.
+                kth = np.partition(alld, k - 1, axis=1)[:, k - 1 : k]
+                known = np.concatenate([ids, np.full(1, np.iinfo(np.int64).max)])[alli]
+                place = np.where(alld < kth - TIE, 0, np.where(alld <= kth + TIE, 1, 2))
+                sel = np.lexsort((np.where(place == 1, known, 0), place), axis=1)[:, :top]
                 near_d, near_i = np.take_along_axis(alld, sel, 1), np.take_along_axis(alli, sel, 1)
-                sel = np.argsort(near_d, axis=1)
+                sel = np.argsort(near_d, axis=1, kind="stable")
                 best_d[who], best_i[who] = np.take_along_axis(near_d, sel, 1), np.take_along_axis(near_i, sel, 1)
     found = np.isfinite(best_d)
     return np.repeat(np.arange(len(q)), top).reshape(len(q), top)[found], best_i[found]
@@ -153,16 +159,22 @@ def _matrix(column) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", keep: float = KEEP) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found by cosine of each query row, but for its own.
 
-    Nearest first, ties to the smaller id; all candidates where there are fewer than k. Vectors that
+    Nearest first, ties (scores equal to 12 decimals, beyond which they are rounding errors) to the smaller id; all candidates where there are fewer than k. Vectors that
     are null, empty, zero or hold null or non-finite components take no part, nor do rows without an
     id; vectors of different lengths are never compared. Of equal vectors only the k + 1 smallest ids
-    can be among the results, so no more of them are searched.
+    can be among the results, so no more of them are searched. Repeated rows of one id are one. An empty
+    table gives an empty result; other columns are left out.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
     fine = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(e, lambda v: v != 0), F.lit(False)))
     dim = F.size("embedding").alias("dim")
-    rows = fine(vectors).withColumn("same", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("same") <= k + 1).select("vec_id", "embedding", dim)
+    every = fine(vectors).withColumn("hash", F.xxhash64("embedding"))
+    crowded = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("hash")
+    rows = every.select("vec_id", "embedding", dim)
+    if not (crowded := checkpointed(crowded)).isEmpty():
+        few = every.join(crowded, "hash", "left_semi").withColumn("same", F.row_number().over(Window.partitionBy("hash", "embedding").orderBy("vec_id"))).where(F.col("same") <= k + 1)
+        rows = every.join(crowded, "hash", "left_anti").select("vec_id", "embedding", dim).unionByName(few.select("vec_id", "embedding", dim))
     asked = fine(queries).select("vec_id", "embedding", dim)
     counts = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}
     trees = {}
@@ -170,7 +182,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
         share = rows.where(F.col("dim") == d).orderBy(F.xxhash64("vec_id")).limit(min(n, SAMPLE_ROWS)).select("embedding").toArrow()
         x = _matrix(share.column(0))
         p = (x / np.sqrt((x * x).sum(1))[:, None]) @ _directions(d)
-        _, (splits, count) = split_tree(p, max(LEAF_ROWS, CELL_ROWS * len(p) // max(n, 1)))
+        _, (splits, count) = split_tree(p, max(SAMPLE_LEAF, CELL_ROWS * len(p) // max(n, 1)))
         trees[d] = (splits, _boxes(splits, count))
     shared = spark.sparkContext.broadcast(trees)
     limit = chi_square_bound(keep)
@@ -195,7 +207,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
                 part = batch.take(pa.array(at))
                 x = _matrix(part.column(1))
                 away = _box_distance(shared.value[int(d)][1], (x / np.sqrt((x * x).sum(1))[:, None]) @ _directions(int(d)))
-                go = away <= bound[at][:, None] * limit
+                go = away <= (bound[at][:, None] + TIE) * limit + TIE
                 go[np.arange(len(at)), home[at]] = False
                 who, cell = np.nonzero(go)
                 new = part.take(pa.array(who))
@@ -214,14 +226,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
 
     shape = "vec_id long, embedding array<double>, dim int, cell long"
     placed = rows.mapInArrow(place, shape)
+    # A cell of more rows than are aimed at (equal projections can't be cut) is dealt out in parts, each of which its queries search.
+    parts = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / (4 * CELL_ROWS)).cast("int").alias("parts")).where("parts > 1").select(F.col("dim").alias("d"), F.col("cell").alias("c"), "parts")
+    parts = F.broadcast(checkpointed(parts))  # a row for each large cell, of at most SAMPLE_ROWS / SAMPLE_LEAF
+    of = lambda df: df.join(parts, (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")), "left").drop("d", "c").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = of(placed).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    ask = lambda df: of(df).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     homes = asked.mapInArrow(place, shape).withColumn("bound", F.lit(float("inf")))
-    cells = placed.groupBy("dim", "cell")
+    cells = dealt.groupBy("dim", "cell", "part")
     result = "query_id long, vec_id long, score double"
-    first = cells.cogroup(homes.groupBy("dim", "cell")).applyInArrow(within, result)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    first = cells.cogroup(ask(homes).groupBy("dim", "cell", "part")).applyInArrow(within, result)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
     ranked = lambda df: df.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     known = ranked(first)
     kth = known.where(F.col("rank") == k).select(F.col("query_id").alias("known_id"), (2 - 2 * F.col("score")).alias("kth"))
     more = homes.drop("bound").join(kth, F.col("vec_id") == F.col("known_id"), "left").select("vec_id", "embedding", "dim", "cell", F.greatest(F.coalesce("kth", F.lit(float("inf"))), F.lit(0.0)).alias("bound"))
-    second = cells.cogroup(more.mapInArrow(route, shape + ", bound double").groupBy("dim", "cell")).applyInArrow(within, result)
+    second = cells.cogroup(ask(more.mapInArrow(route, shape + ", bound double")).groupBy("dim", "cell", "part")).applyInArrow(within, result)
     return ranked(known.drop("rank").unionByName(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
