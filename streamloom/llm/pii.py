@@ -8,8 +8,8 @@ information over the corpus, relative to the entity's information content:
 
 which is 1 where the term occurs only with the entity. All three count documents, wherever in them the
 term and the entity stand; words within base spans don't count. In documents that hold the entity, terms
-from REMOVE on are removed and from GENERALISE on generalised. A pair needs SUPPORT documents of
-different texts: what was seen once, or in copies of one text, is no estimate.
+from REMOVE on are removed and from GENERALISE on generalised. A pair needs SUPPORT different texts:
+what was seen once, or in copies of one text, is no estimate.
 
 The patterns are those of the base kinds written with possessive quantifiers and, for e-mail and IP,
 with starts at the edge of a run only; that finds the same matches in time linear in the text.
@@ -29,7 +29,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 #: Candidate terms up to which they are broadcast.
 BROADCAST_TERMS = 200_000
 
@@ -76,14 +76,13 @@ def _marked(kind: str) -> Column:
 
 
 def _based(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """id, the four kinds, and of a document with entities these, its words and its digest: computed once from the texts, and without them."""
+    """id, the four kinds, and of a document with entities these, its text and the text's digest."""
     t = F.coalesce(F.col(text), F.lit(""))
     spans = base_spans(F.col("t"))
     rows = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select("id", "t", *(c.alias(k) for k, c in spans.items()))
     entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda x: F.lower(x["s"])))
     some = F.size(F.concat(*KINDS)) > 0
-    rest = F.regexp_replace("t", EMAIL, " ")  # the one kind that holds letters
-    return rows.select("id", *KINDS, F.when(some, entities).alias("entities"), F.when(some, _terms(rest)).alias("words"), F.when(some, F.sha2("t", 256)).alias("sha"))
+    return rows.select("id", *KINDS, F.when(some, entities).alias("entities"), F.when(some, F.col("t")).alias("t"), F.when(some, F.sha2("t", 256)).alias("sha"))
 
 
 def _terms(text: Column) -> Column:
@@ -92,7 +91,9 @@ def _terms(text: Column) -> Column:
 
 def disclosures(docs: DataFrame, based: DataFrame, text: str) -> DataFrame:
     """entity, term, disclosure of the pairs at GENERALISE or above."""
-    texts = based.where("entities is not null").groupBy("sha").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
+    words = _terms(F.regexp_replace("t", EMAIL, " "))  # the one kind that holds letters
+    texts = based.where("entities is not null").select("sha", "entities", words.alias("words"))
+    texts = texts.groupBy("sha").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
     texts = checkpointed(texts.drop("sha"))
     often = lambda name: (F.sum("copies").alias(name), F.count(F.lit(1)).alias("texts"))
     each = checkpointed(texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(*often("n_entity")).where(F.col("texts") >= SUPPORT).drop("texts"))
@@ -120,7 +121,8 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """id, email, ip, card, phone, term (arrays of spans; a term's s is its disclosure class) for every row.
 
     Null counts as empty; an empty text has no spans; an empty table gives an empty result; rows that
-    repeat a doc_id share the terms that any of them reveals. Terms within base spans don't count.
+    repeat a doc_id each have the spans of their own text. Terms within base spans don't count. Columns
+    besides doc_id and text are left out.
     """
     based = checkpointed(_based(docs, text, doc_id))
     told = checkpointed(disclosures(docs, based, text))
@@ -128,15 +130,12 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     plain = based.select("id", *KINDS, none.alias("term"))
     if told.isEmpty():
         return plain
-    held = based.where("entities is not null").select("id", F.explode("entities").alias("entity")).distinct()
-    per = held.join(told, "entity").groupBy("id", "term").agg(F.max("disclosure").alias("d")).groupBy(F.col("id").alias("told_id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("terms"))
-    per = checkpointed(per)
-    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(per, F.col("id").eqNullSafe(F.col("told_id")))
-    found = F.filter(_find(F.col("t"), _TERM, F.lit(True)), lambda x: F.map_contains_key("terms", F.lower(x["s"])))
+    held = based.where("entities is not null")
+    per = held.select("sha", F.explode("entities").alias("entity")).distinct().join(told, "entity").groupBy("sha", "term").agg(F.max("disclosure").alias("d"))
+    per = checkpointed(per.groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("terms")))
+    found = F.filter(_find(F.col("t"), _TERM, F.col("terms").isNotNull()), lambda x: F.map_contains_key("terms", F.lower(x["s"])))
     found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(F.element_at("terms", F.lower(x["s"])) >= REMOVE, "remove").otherwise("generalise").alias("s")))
-    where = texts.select("told_id", found.alias("found"), F.sha2("t", 256).alias("sha")).dropDuplicates(["told_id", "sha"])
-    same = where.groupBy(F.col("told_id").alias("found_id")).agg(F.first("found").alias("found"))
-    joined = based.where("entities is not null").join(same, F.col("id").eqNullSafe(F.col("found_id")), "left")
+    joined = held.join(per, "sha", "left").select("id", *KINDS, found.alias("found"))
     clear = F.filter(F.coalesce("found", none), lambda x: ~F.exists(F.concat(*KINDS), lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     return plain.where(F.size(F.concat(*KINDS)) == 0).unionByName(joined.select("id", *KINDS, clear.alias("term")))
 
