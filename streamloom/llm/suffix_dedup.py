@@ -14,6 +14,11 @@ is sorted at a time, which bounds the memory.
    offset, so they meet in that gram's bucket, to which each segment's bytes go. A bucket names and sorts
    the strings of all its segments and answers which are repeated.
 
+Passages that documents share are also told in words, as a passage of many words may have fewer bytes:
+of each PASSAGE words in a row the least RUN-word string (by fingerprint) stands for them, and one that
+another document has too is counted. So a passage of PASSAGE words that two documents share always
+counts, and whatever counts is RUN shared words at least.
+
 Long ties are thus settled by names, not by comparing texts. Documents travel in blocks; a block sends
 each name or segment once, or twice where it holds it more often, so that copies don't add up.
 """
@@ -26,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, powers, prefix_hash, release, text_blocks, window
+from .common import checkpointed, mix, powers, prefix_hash, release, text_blocks, window, words
 
 LENGTH = 400
 #: A perfect difference set modulo 16 * 16 + 16 + 1; every difference occurs once.
@@ -36,6 +41,8 @@ CORE = LENGTH - V + 1
 GRAM = 16
 #: Text bytes of a block, and name bytes of a bucket, that are aimed at.
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 3 << 20
+#: Words of a passage that is shared, and of the strings that stand for it.
+PASSAGE, RUN = 50, 40
 _IN_COVER = np.zeros(V, bool)
 _IN_COVER[list(COVER)] = True
 
@@ -64,6 +71,30 @@ class Part:
         p = np.flatnonzero((self.left >= CORE) & self.long & _IN_COVER[self.at % V])
         return p, _short(self.names(p, CORE))
 
+    def passages(self) -> tuple[np.ndarray, np.ndarray]:
+        """(document, name) of the strings of words that stand for the documents' passages, each once."""
+        h, first = words(self.buf, self.offs)
+        n = np.diff(first)
+        doc = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(h)) - first[doc] if len(h) else np.zeros(0, np.int64)
+        start = np.flatnonzero(at + PASSAGE <= n[doc])
+        if not len(start):
+            return start, start.astype(np.uint64)
+        up, down = powers(len(h) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+        runs = np.arange(len(h) - RUN + 1)
+        name = mix((sums[runs + RUN] - sums[runs]) * down[runs])
+        least = name[start]
+        for k in range(1, PASSAGE - RUN + 1):
+            np.minimum(least, name[start + k], out=least)
+        owner = doc[start]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
+        least, owner = least[new], owner[new]
+        order = np.lexsort((least, owner))
+        least, owner = least[order], owner[order]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
+        return owner[new], least[new]
+
     def candidates(self, p: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Mask of the starts of LENGTH bytes with a hit among the samples p within their first V bytes."""
         seen = np.zeros(len(self.buf) + 1, np.int32)
@@ -145,14 +176,18 @@ def among(names: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(names: np.ndarray) -> bytes:
-    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+#: Bytes of a packed name: sample names only filter, those of passages decide.
+_SHORT, _LONG = 5, 8
+
+
+def _pack(names: np.ndarray, width: int = _SHORT) -> bytes:
+    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes, width: int = _SHORT) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = raw.reshape(-1, 5)
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
     return out.reshape(-1).view(np.uint64)
 
 
@@ -177,21 +212,24 @@ def _name_table(bucket, block, names) -> dict[str, pa.Array]:
     return {"bucket": pa.array(bucket, pa.int64()), "block": pa.array(block, pa.int64()), "names": pa.array(names, pa.binary())}
 
 
-def _deal_samples(names: np.ndarray, block: int, buckets: int) -> dict[str, pa.Array]:
-    """Of each bucket one row with its packed names; a name met more than twice is sent twice."""
+def _deal_samples(names: np.ndarray, block: int, buckets: int, width: int) -> dict[str, pa.Array]:
+    """Of each bucket one row with its packed names; a name met more than twice is sent twice. Buckets below 0 are those of passages."""
     bucket = (names % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((names, bucket))
     names, bucket = names[order], bucket[order]
     keep = _twice(names)
     names, bucket = names[keep], bucket[keep]
     edges = _runs(bucket)
-    return _name_table(bucket[edges[:-1]], [block] * (len(edges) - 1), [_pack(names[i:j]) for i, j in zip(edges[:-1], edges[1:])])
+    told = bucket[edges[:-1]] if width == _SHORT else -1 - bucket[edges[:-1]]
+    return _name_table(told, [block] * (len(edges) - 1), [_pack(names[i:j], width) for i, j in zip(edges[:-1], edges[1:])])
 
 
 def _sort_samples(group: pa.Table) -> pa.Table:
-    """Sort one bucket's sample names, and send to each block those that were sent twice or more."""
+    """Sort one bucket's names, and send to each block those that were sent twice or more; the bucket is -1 for passages, else 0."""
+    kind = -1 if group.column("bucket")[0].as_py() < 0 else 0
+    width = _LONG if kind else _SHORT
     data = group.column("names").to_pylist()
-    names, owner = _unpack(b"".join(data)), np.repeat(np.array(group.column("block")), [len(x) // 5 for x in data])
+    names, owner = _unpack(b"".join(data), width), np.repeat(np.array(group.column("block")), [len(x) // width for x in data])
     order = np.argsort(names, kind="stable")
     x, owner = names[order], owner[order]
     same = np.zeros(len(x), bool)
@@ -203,7 +241,7 @@ def _sort_samples(group: pa.Table) -> pa.Table:
     keep = np.concatenate([[True], (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])]) if len(x) else np.zeros(0, bool)
     x, owner = x[keep], owner[keep]
     edges = _runs(owner)
-    return pa.table(_name_table([0] * (len(edges) - 1), owner[edges[:-1]], [_pack(x[i:j]) for i, j in zip(edges[:-1], edges[1:])]))
+    return pa.table(_name_table([kind] * (len(edges) - 1), owner[edges[:-1]], [_pack(x[i:j], width) for i, j in zip(edges[:-1], edges[1:])]))
 
 
 def _sort_segments(group: pa.Table) -> pa.Table:
@@ -232,12 +270,12 @@ def _sort_segments(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int64()), "name": pa.array(name, pa.int64()), "names": pa.array(out, pa.binary())})
 
 
-def _repeated(told: pa.Table) -> np.ndarray:
-    return np.sort(_unpack(b"".join(told.column("names").filter(pa.compute.is_null(told.column("name"))).to_pylist())))
+def _repeated(told: pa.Table, kind: int = 0) -> np.ndarray:
+    return np.sort(_unpack(b"".join(told.column("names").filter(pa.compute.equal(told.column("kind"), kind)).to_pylist()), _LONG if kind else _SHORT))
 
 
 def _answers(told: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    own = told.filter(pa.compute.is_valid(told.column("name")))
+    own = told.filter(pa.compute.equal(told.column("kind"), 1))
     names = np.array(own.column("name")).astype(np.int64).view(np.uint64)
     order = np.argsort(names, kind="stable")
     spans = own.column("names").to_pylist()
@@ -249,7 +287,7 @@ def _parts(table: pa.Table) -> list[Part]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) for every row.
+    """doc_id, n_bytes, n_removed, n_spans, n_passages (RUN-word strings shared with other rows), kept (binary: the remaining bytes) for every row.
 
     Texts are UTF-8 bytes, null counts as empty; a text below LENGTH bytes loses nothing; repeated rows
     are each other's repeats; an empty table gives an empty result. Other columns are left out.
@@ -268,7 +306,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             for block in np.unique(owner):
                 part = batch.filter(pa.array(owner == block))
                 for _, _, buf, offs in text_blocks(part.column(0)):
-                    yield pa.RecordBatch.from_pydict(_deal_samples(Part(buf, offs).samples()[1], int(block), buckets))
+                    one = Part(buf, offs)
+                    yield pa.RecordBatch.from_pydict(_deal_samples(one.samples()[1], int(block), buckets, _SHORT))
+                    yield pa.RecordBatch.from_pydict(_deal_samples(one.passages()[1], int(block), buckets, _LONG))
 
     def send(key, mine: pa.Table, told: pa.Table) -> pa.Table:
         parts = _parts(mine) if mine.num_rows else []
@@ -283,7 +323,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     def cut(mine: pa.Table, told: pa.Table) -> pa.Table:
         parts = _parts(mine) if mine.num_rows else []
-        size, gone, spans, kept = [], [], [], []
+        size, gone, spans, kept, shared = [], [], [], [], []
+        found = [p.passages() for p in parts]
+        hits = _split(among(_flat([n for _, n in found]), _repeated(told, -1)), [n for _, n in found])
+        for p, (owner, _), hit in zip(parts, found, hits):
+            shared += np.bincount(owner[hit], minlength=len(p.offs) - 1).tolist()
         for p, mask in zip(parts, covered(parts, _repeated(told), *_answers(told))):
             for a, b in zip(p.offs[:-1], p.offs[1:]):
                 m = mask[a:b]
@@ -291,15 +335,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 gone.append(int(m.sum()))
                 spans.append(int((m & ~np.concatenate([[False], m[:-1]])).sum()) if b > a else 0)
                 kept.append(p.buf[a:b][~m].tobytes())
-        return pa.table([mine.column("id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([mine.column("id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(shared, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept"])
 
     blank = F.lit(None).cast("long").alias("name")
-    told = checkpointed(rows.select("text", "block").mapInArrow(sample, _NAMES).groupBy("bucket").applyInArrow(_sort_samples, _NAMES).select("block", blank, "names"))
+    told = checkpointed(rows.select("text", "block").mapInArrow(sample, _NAMES).groupBy("bucket").applyInArrow(_sort_samples, _NAMES).select("block", blank, "names", F.col("bucket").alias("kind")))
     release(spark)
-    sent = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, _SEGMENTS)
+    sent = rows.groupBy("block").cogroup(told.where("kind = 0").groupBy("block")).applyInArrow(send, _SEGMENTS)
     more = checkpointed(sent.groupBy("bucket").applyInArrow(_sort_segments, _ANSWERS))
     release(spark)
-    return rows.groupBy("block").cogroup(told.unionByName(more).groupBy("block")).applyInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", doc_id)
+    return rows.groupBy("block").cogroup(told.unionByName(more.withColumn("kind", F.lit(1).cast("long"))).groupBy("block")).applyInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, n_passages long, kept binary").withColumnRenamed("id", doc_id)
 
 
 def digests(done: DataFrame) -> DataFrame:
