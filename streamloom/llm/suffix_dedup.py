@@ -1,8 +1,8 @@
 """Repeated byte strings, found by blockwise sorting with a difference cover.
 
 A string of LENGTH bytes is repeated when it also starts anywhere else, in the same document or another.
-Whole suffixes are never sorted at once: names (fingerprints) are dealt out to buckets, and one bucket
-is sorted at a time, which bounds the memory.
+Whole suffixes are never sorted at once: they are dealt out to buckets, and one bucket is sorted at a
+time, which bounds the memory.
 
 1. A difference cover D modulo V holds, for any two positions i and j, an offset d < V with both i + d
    and j + d in the sample of positions that are in D modulo V. So of two equal strings of LENGTH bytes
@@ -11,16 +11,18 @@ is sorted at a time, which bounds the memory.
    dropped, and with them every suffix that has no repeated sample name within its first V bytes.
 2. The suffixes left are cut into segments, of consecutive ones whose first LENGTH bytes have their least
    GRAM-gram (by fingerprint, the leftmost of equals) at the same place. Equal strings have it at the same
-   offset, so they meet in that gram's bucket, to which each segment's bytes go. A bucket names and sorts
-   the strings of all its segments and answers which are repeated.
+   offset, so they meet in that gram's bucket, to which each segment's bytes go. A bucket ranks the
+   strings at the positions of a second, finer cover beforehand, by doubling, and sorts its suffixes by
+   their first and last bytes; long ties between are resolved by the ranks at the offset that the cover
+   has for the two positions. All of it compares bytes, not fingerprints of them.
 
 Passages that documents share are also told in words, as a passage of many words may have fewer bytes:
 of each PASSAGE words in a row the least RUN-word string (by fingerprint) stands for them, and one that
 another document has too is counted. So a passage of PASSAGE words that two documents share always
 counts, and whatever counts is RUN shared words at least.
 
-Long ties are thus settled by names, not by comparing texts. Documents travel in blocks; a block sends
-each name or segment once, or twice where it holds it more often, so that copies don't add up.
+Documents travel in blocks; a block sends each name or segment once, or twice where it holds it more
+often, and a task a segment's bytes twice at most, so that copies don't add up.
 """
 
 from __future__ import annotations
@@ -146,15 +148,15 @@ def segments(parts: list[Part], sample: np.ndarray) -> list[tuple[np.ndarray, ..
 def covered(parts: list[Part], sample: np.ndarray, names: np.ndarray, spans: list[bytes]) -> list[np.ndarray]:
     """Of each part: the mask of the bytes in strings of LENGTH bytes that start anywhere else too.
 
-    spans: of each segment name (sorted), pairs of a first and an end start within it that are repeated.
+    spans: of each segment name (sorted), pairs of a first and an end start within it that are repeated; empty if all are.
     """
     out = []
-    for part, (lo, _, name, _) in zip(parts, segments(parts, sample)):
+    for part, (lo, hi, name, _) in zip(parts, segments(parts, sample)):
         edge = np.zeros(len(part.buf) + 1, np.int64)
         if len(names) and len(name):
             at = np.minimum(np.searchsorted(names, name), len(names) - 1)
             for i in np.flatnonzero(names[at] == name):
-                pairs = np.frombuffer(spans[at[i]], np.int32).reshape(-1, 2) + lo[i]
+                pairs = (np.frombuffer(spans[at[i]], np.int32).reshape(-1, 2) if spans[at[i]] else np.array([[0, hi[i] - lo[i]]])) + lo[i]
                 np.add.at(edge, pairs[:, 0], 1)
                 np.add.at(edge, pairs[:, 1] - 1 + LENGTH, -1)
         out.append(np.cumsum(edge)[:-1] > 0)
@@ -244,24 +246,98 @@ def _sort_samples(group: pa.Table) -> pa.Table:
     return pa.table(_name_table([kind] * (len(edges) - 1), owner[edges[:-1]], [_pack(x[i:j], width) for i, j in zip(edges[:-1], edges[1:])]))
 
 
+#: A perfect difference set modulo 2 * 2 + 2 + 1, by which a bucket's long ties are resolved.
+_TIE_V, _TIE_COVER = 7, (0, 1, 3)
+#: Bytes of the sample's strings, which with the first _TIE_V bytes before them and the last 8 make up LENGTH.
+_TIE_CORE = 56 * _TIE_V
+
+
+def _ranks(buf: np.ndarray) -> np.ndarray:
+    """Ranks of the strings of _TIE_CORE bytes at the positions in the cover, one after the other, by doubling.
+
+    Strings that would end after the buffer's end are ranked as if zeros followed.
+    """
+    size = -(-len(buf) // _TIE_V) * _TIE_V
+    padded = np.zeros(size + 2 * _TIE_V, np.uint8)
+    padded[: len(buf)] = buf
+    at = (np.arange(0, size, _TIE_V)[:, None] + np.array(_TIE_COVER)).reshape(-1)
+    key = np.zeros(len(at), np.uint64)
+    for k in range(_TIE_V):
+        key = (key << np.uint64(8)) | padded[at + k]
+    rank = np.unique(key, return_inverse=True)[1].reshape(-1)
+    step = len(_TIE_COVER)  # places between positions that are _TIE_V bytes apart
+    for shift in (1, 2, 4, 8, 16, 24):  # strings of 1, 2, 4 .. 32 times _TIE_V bytes, the last two overlapping
+        after = np.zeros(len(rank), np.int64)
+        after[: max(0, len(rank) - shift * step)] = rank[shift * step :] + 1
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].reshape(-1)
+    return rank
+
+
+def _equal_strings(buf: np.ndarray, start: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes at each start stand at others too, or weigh more than 1 themselves.
+
+    Two strings are equal if their first _TIE_V and last 8 bytes are, and the ranks of the sample strings
+    at the offset below _TIE_V at which the cover holds a position of both.
+    """
+    if not len(start):
+        return np.zeros(0, bool)
+    word = lambda at, n: sum(buf[at + k].astype(np.uint64) << np.uint64(8 * (n - 1 - k)) for k in range(n))
+    head, tail = word(start, _TIE_V), word(start + LENGTH - 8, 8)
+    rank = _ranks(buf)
+    ends = _joint(head, tail)
+    keys, owner = [], []
+    for c, place in enumerate(_TIE_COVER):
+        offset = (place - start) % _TIE_V
+        at = (start + offset) // _TIE_V * len(_TIE_COVER) + c
+        keys.append((rank[at] * _TIE_V + offset) * (int(ends.max()) + 1) + ends)
+        owner.append(np.arange(len(start)))
+    key, owner = np.concatenate(keys), np.concatenate(owner)
+    order = np.argsort(key, kind="stable")
+    edges = _runs(key[order])
+    total = np.add.reduceat(weight[owner[order]], edges[:-1])
+    hit = np.zeros(len(start), bool)
+    hit[owner[order][np.repeat(total > 1, np.diff(edges))]] = True
+    return hit
+
+
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct pairs, in their order."""
+    order = np.lexsort((b, a))
+    new = np.concatenate([[False], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    out = np.zeros(len(a), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _once(batches):
+    """Segments, but that of those a task meets again from the third time on only the names go on, to be answered as repeated.
+
+    So however many documents hold a passage, its bucket gets its bytes twice from each task at most.
+    """
+    seen: dict[int, int] = {}
+    for batch in batches:
+        bucket, name, data = np.array(batch.column(0)), batch.column(2).to_pylist(), batch.column(4).to_pylist()
+        for i, n in enumerate(name):
+            times = seen[n] = seen.get(n, 0) + 1
+            if times > 2:
+                bucket[i], data[i] = -1 - bucket[i], None
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(1), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=batch.schema.names)
+
+
 def _sort_segments(group: pa.Table) -> pa.Table:
-    """Name and sort the strings of one bucket's segments; answer each segment with its repeated starts."""
-    column = group.column("bytes")
-    parts = [Part(buf, offs) for _, _, buf, offs in text_blocks(column)]
-    names = [p.names(np.flatnonzero(p.left >= LENGTH), LENGTH) for p in parts]
-    count = np.concatenate([np.diff(p.offs) - LENGTH + 1 for p in parts])
-    flat = _flat(names)
-    many = np.repeat(np.array(group.column("many")), count)
-    order = np.argsort(flat, kind="stable")
-    x = flat[order]
-    edges = _runs(x)
-    weight = np.add.reduceat(1 + many[order].astype(np.int64), edges[:-1])
-    hit = np.zeros(len(flat), bool)
-    hit[order] = np.repeat(weight > 1, np.diff(edges))
+    """Sort the strings of one bucket's segments; answer each segment with its repeated starts, or with nothing if all are."""
+    if group.column("bucket")[0].as_py() < 0:
+        return pa.table({"block": group.column("block"), "name": group.column("name"), "names": pa.array([b""] * group.num_rows, pa.binary())})
+    data = group.column("bytes").to_pylist()
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    length = np.array([len(x) for x in data])
+    count = length - LENGTH + 1
     ends = np.cumsum(count)
+    start = np.arange(ends[-1]) + np.repeat((LENGTH - 1) * np.arange(len(data)), count)
+    hit = _equal_strings(buf, start, 1 + np.repeat(np.array(group.column("many")).astype(np.int64), count))
     block, name, out = [], [], []
     blocks, own = group.column("block").to_pylist(), group.column("name").to_pylist()
-    for i in np.flatnonzero(np.add.reduceat(hit, ends - count) if len(count) else []):
+    for i in np.flatnonzero(np.add.reduceat(hit, ends - count)):
         h = np.concatenate([[False], hit[ends[i] - count[i] : ends[i]], [False]])
         turn = np.flatnonzero(h[1:] != h[:-1]).astype(np.int32)
         block.append(blocks[i])
@@ -341,7 +417,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     told = checkpointed(rows.select("text", "block").mapInArrow(sample, _NAMES).groupBy("bucket").applyInArrow(_sort_samples, _NAMES).select("block", blank, "names", F.col("bucket").alias("kind")))
     release(spark)
     sent = rows.groupBy("block").cogroup(told.where("kind = 0").groupBy("block")).applyInArrow(send, _SEGMENTS)
-    more = checkpointed(sent.groupBy("bucket").applyInArrow(_sort_segments, _ANSWERS))
+    more = checkpointed(sent.mapInArrow(_once, _SEGMENTS).groupBy("bucket").applyInArrow(_sort_segments, _ANSWERS))
     release(spark)
     return rows.groupBy("block").cogroup(told.unionByName(more.withColumn("kind", F.lit(1).cast("long"))).groupBy("block")).applyInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, n_passages long, kept binary").withColumnRenamed("id", doc_id)
 
