@@ -11,10 +11,10 @@ time, which bounds the memory.
    dropped, and with them every suffix that has no repeated sample name within its first V bytes.
 2. The suffixes left are cut into segments, of consecutive ones whose first LENGTH bytes have their least
    GRAM-gram (by fingerprint, the leftmost of equals) at the same place. Equal strings have it at the same
-   offset, so they meet in that gram's bucket, to which each segment's bytes go. A bucket ranks the
-   strings at the positions of a second, finer cover beforehand, by doubling, and sorts its suffixes by
-   their first and last bytes; long ties between are resolved by the ranks at the offset that the cover
-   has for the two positions. All of it compares bytes, not fingerprints of them.
+   offset, so they meet in that gram's bucket, to which each segment's bytes go. A bucket names and sorts
+   the strings of all its segments, compares equal names byte by byte and answers which are repeated.
+
+Long ties are thus settled by names and bytes, not by stored ranks of the cover's sample.
 
 Passages that documents share are also told in words, as a passage of many words may have fewer bytes:
 of each PASSAGE words in a row the least RUN-word string (by fingerprint) stands for them, and one that
@@ -30,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,82 +247,47 @@ def _sort_samples(group: pa.Table) -> pa.Table:
     return pa.table(_name_table([kind] * (len(edges) - 1), owner[edges[:-1]], [_pack(x[i:j], width) for i, j in zip(edges[:-1], edges[1:])]))
 
 
-#: A perfect difference set modulo 2 * 2 + 2 + 1, by which a bucket's long ties are resolved.
-_TIE_V, _TIE_COVER = 7, (0, 1, 3)
-#: Bytes of the sample's strings, which with the first _TIE_V bytes before them and the last 8 make up LENGTH.
-_TIE_CORE = 56 * _TIE_V
-
-
-def _ranks(buf: np.ndarray) -> np.ndarray:
-    """Ranks of the strings of _TIE_CORE bytes at the positions in the cover, one after the other, by doubling.
+def _equal_strings(buf: np.ndarray, start: np.ndarray, name: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes at each start stand at others too, or weigh more than 1 themselves; names are equal where strings are.
 
-    Strings that would end after the buffer's end are ranked as if zeros followed.
+    The suffixes are sorted by name, and each is compared byte by byte with the first of its name.
     """
-    size = -(-len(buf) // _TIE_V) * _TIE_V
-    padded = np.zeros(size + 2 * _TIE_V, np.uint8)
-    padded[: len(buf)] = buf
-    at = (np.arange(0, size, _TIE_V)[:, None] + np.array(_TIE_COVER)).reshape(-1)
-    key = np.zeros(len(at), np.uint64)
-    for k in range(_TIE_V):
-        key = (key << np.uint64(8)) | padded[at + k]
-    rank = np.unique(key, return_inverse=True)[1].reshape(-1)
-    step = len(_TIE_COVER)  # places between positions that are _TIE_V bytes apart
-    for shift in (1, 2, 4, 8, 16, 24):  # strings of 1, 2, 4 .. 32 times _TIE_V bytes, the last two overlapping
-        after = np.zeros(len(rank), np.int64)
-        after[: max(0, len(rank) - shift * step)] = rank[shift * step :] + 1
-        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].reshape(-1)
-    return rank
-
-
-def _equal_strings(buf: np.ndarray, start: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Whether the LENGTH bytes at each start stand at others too, or weigh more than 1 themselves.
-
-    Two strings are equal if their first _TIE_V and last 8 bytes are, and the ranks of the sample strings
-    at the offset below _TIE_V at which the cover holds a position of both.
-    """
-    if not len(start):
-        return np.zeros(0, bool)
-    word = lambda at, n: sum(buf[at + k].astype(np.uint64) << np.uint64(8 * (n - 1 - k)) for k in range(n))
-    head, tail = word(start, _TIE_V), word(start + LENGTH - 8, 8)
-    rank = _ranks(buf)
-    ends = _joint(head, tail)
-    keys, owner = [], []
-    for c, place in enumerate(_TIE_COVER):
-        offset = (place - start) % _TIE_V
-        at = (start + offset) // _TIE_V * len(_TIE_COVER) + c
-        keys.append((rank[at] * _TIE_V + offset) * (int(ends.max()) + 1) + ends)
-        owner.append(np.arange(len(start)))
-    key, owner = np.concatenate(keys), np.concatenate(owner)
-    order = np.argsort(key, kind="stable")
-    edges = _runs(key[order])
-    total = np.add.reduceat(weight[owner[order]], edges[:-1])
+    order = np.argsort(name, kind="stable")
+    edges = _runs(name[order])
     hit = np.zeros(len(start), bool)
-    hit[owner[order][np.repeat(total > 1, np.diff(edges))]] = True
+    total = np.add.reduceat(weight[order], edges[:-1]) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(edges)
+    hit[order[np.repeat(total > 1, sizes)]] = True
+    at, first = order[np.repeat(sizes > 1, sizes)], order[np.repeat(edges[:-1], sizes)][np.repeat(sizes > 1, sizes)]
+    span = np.arange(LENGTH)
+    odd = [at[i : i + 8192][(buf[start[at[i : i + 8192]][:, None] + span] != buf[start[first[i : i + 8192]][:, None] + span]).any(1)] for i in range(0, len(at), 8192)]
+    if len(odd := _flat(odd, np.int64)):  # different strings of one name: settled by their bytes alone
+        again = np.flatnonzero(np.isin(name, name[odd]))
+        text = [buf[start[i] : start[i] + LENGTH].tobytes() for i in again]
+        of: dict[bytes, int] = {}
+        for i, t in zip(again, text):
+            of[t] = of.get(t, 0) + int(weight[i])
+        hit[again] = [of[t] > 1 for t in text]
     return hit
 
 
-def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the distinct pairs, in their order."""
-    order = np.lexsort((b, a))
-    new = np.concatenate([[False], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
-    out = np.zeros(len(a), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+_seen: dict[int, dict[int, int]] = {}
 
 
-def _once(batches):
-    """Segments, but that of those a task meets again from the third time on only the names go on, to be answered as repeated.
+def _times(names: np.ndarray) -> np.ndarray:
+    """How often this task has met each of some distinct names, this time included.
 
-    So however many documents hold a passage, its bucket gets its bytes twice from each task at most.
+    From the third time on a segment's bytes stay behind and its name is answered as repeated, so however
+    many documents hold a passage, its bucket gets its bytes twice from each task at most.
     """
-    seen: dict[int, int] = {}
-    for batch in batches:
-        bucket, name, data = np.array(batch.column(0)), batch.column(2).to_pylist(), batch.column(4).to_pylist()
-        for i, n in enumerate(name):
-            times = seen[n] = seen.get(n, 0) + 1
-            if times > 2:
-                bucket[i], data[i] = -1 - bucket[i], None
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(1), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=batch.schema.names)
+    task = TaskContext.get().taskAttemptId()
+    if task not in _seen:
+        _seen.clear()
+        _seen[task] = {}
+    seen = _seen[task]
+    for n in names.tolist():
+        seen[n] = seen.get(n, 0) + 1
+    return np.array([seen[n] for n in names.tolist()], np.int64)
 
 
 def _sort_segments(group: pa.Table) -> pa.Table:
@@ -334,7 +300,10 @@ def _sort_segments(group: pa.Table) -> pa.Table:
     count = length - LENGTH + 1
     ends = np.cumsum(count)
     start = np.arange(ends[-1]) + np.repeat((LENGTH - 1) * np.arange(len(data)), count)
-    hit = _equal_strings(buf, start, 1 + np.repeat(np.array(group.column("many")).astype(np.int64), count))
+    parts = [Part(b, o) for _, _, b, o in text_blocks(group.column("bytes"))]
+    name = _flat([p.names(np.flatnonzero(p.left >= LENGTH), LENGTH) for p in parts])
+    hit = _equal_strings(buf, start, name, 1 + np.repeat(np.array(group.column("many")).astype(np.int64), count))
+    del parts
     block, name, out = [], [], []
     blocks, own = group.column("block").to_pylist(), group.column("name").to_pylist()
     for i in np.flatnonzero(np.add.reduceat(hit, ends - count)):
@@ -394,8 +363,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         order = np.argsort(name, kind="stable")
         edges = _runs(name[order])
         first = order[edges[:-1]]
-        data = [where[i][0].buf[where[i][1] : where[i][2] - 1 + LENGTH].tobytes() for i in first]
-        return pa.table({"bucket": pa.array(bucket[first], pa.int64()), "block": pa.array([key[0].as_py()] * len(first), pa.int64()), "name": pa.array(name[first].view(np.int64), pa.int64()), "many": pa.array(np.diff(edges) > 1 if len(first) else [], pa.bool_()), "bytes": pa.array(data, pa.binary())})
+        known = _times(name[first]) > 2
+        data = [None if k else where[i][0].buf[where[i][1] : where[i][2] - 1 + LENGTH].tobytes() for i, k in zip(first, known)]
+        return pa.table({"bucket": pa.array(np.where(known, -1 - bucket[first], bucket[first]), pa.int64()), "block": pa.array([key[0].as_py()] * len(first), pa.int64()), "name": pa.array(name[first].view(np.int64), pa.int64()), "many": pa.array(np.diff(edges) > 1 if len(first) else [], pa.bool_()), "bytes": pa.array(data, pa.binary())})
 
     def cut(mine: pa.Table, told: pa.Table) -> pa.Table:
         parts = _parts(mine) if mine.num_rows else []
@@ -417,7 +387,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     told = checkpointed(rows.select("text", "block").mapInArrow(sample, _NAMES).groupBy("bucket").applyInArrow(_sort_samples, _NAMES).select("block", blank, "names", F.col("bucket").alias("kind")))
     release(spark)
     sent = rows.groupBy("block").cogroup(told.where("kind = 0").groupBy("block")).applyInArrow(send, _SEGMENTS)
-    more = checkpointed(sent.mapInArrow(_once, _SEGMENTS).groupBy("bucket").applyInArrow(_sort_segments, _ANSWERS))
+    more = checkpointed(sent.groupBy("bucket").applyInArrow(_sort_segments, _ANSWERS))
     release(spark)
     return rows.groupBy("block").cogroup(told.unionByName(more.withColumn("kind", F.lit(1).cast("long"))).groupBy("block")).applyInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, n_passages long, kept binary").withColumnRenamed("id", doc_id)
 
