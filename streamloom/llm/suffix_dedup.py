@@ -250,7 +250,8 @@ def _sort_samples(group: pa.Table) -> pa.Table:
 def _equal_strings(buf: np.ndarray, start: np.ndarray, name: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Whether the LENGTH bytes at each start stand at others too, or weigh more than 1 themselves; names are equal where strings are.
 
-    The suffixes are sorted by name, and each is compared byte by byte with the first of its name.
+    The suffixes are sorted by name, and each is compared byte by byte with the first of its name. starts
+    are in ascending order.
     """
     order = np.argsort(name, kind="stable")
     edges = _runs(name[order])
@@ -258,9 +259,21 @@ def _equal_strings(buf: np.ndarray, start: np.ndarray, name: np.ndarray, weight:
     total = np.add.reduceat(weight[order], edges[:-1]) if len(order) else np.zeros(0, np.int64)
     sizes = np.diff(edges)
     hit[order[np.repeat(total > 1, sizes)]] = True
-    at, first = order[np.repeat(sizes > 1, sizes)], order[np.repeat(edges[:-1], sizes)][np.repeat(sizes > 1, sizes)]
-    span = np.arange(LENGTH)
-    odd = [at[i : i + 8192][(buf[start[at[i : i + 8192]][:, None] + span] != buf[start[first[i : i + 8192]][:, None] + span]).any(1)] for i in range(0, len(at), 8192)]
+    first = np.zeros(len(start), np.int64)
+    first[order] = order[np.repeat(edges[:-1], sizes)]
+    at = np.flatnonzero(first != np.arange(len(start)))
+    # Where both a string and the first of its name follow on a pair that is compared, only the last byte is new.
+    follows = np.zeros(len(start), bool)
+    follows[1:] = (start[1:] == start[:-1] + 1) & (start[first[1:]] == start[first[:-1]] + 1) & (first[:-1] != np.arange(len(start) - 1))
+    last = lambda i: buf[start[i] + LENGTH - 1]
+    same = bool((last(at[follows[at]]) == last(first[at[follows[at]]])).all())
+    span, odd = np.arange(LENGTH), []
+    whole = at[~follows[at]] if same else at
+    for i in range(0, len(whole), 8192):
+        one = whole[i : i + 8192]
+        odd.append(one[(buf[start[one][:, None] + span] != buf[start[first[one]][:, None] + span]).any(1)])
+    if same and any(map(len, odd)):  # what follows on an unequal pair is unknown
+        odd.append(at)
     if len(odd := _flat(odd, np.int64)):  # different strings of one name: settled by their bytes alone
         again = np.flatnonzero(np.isin(name, name[odd]))
         text = [buf[start[i] : start[i] + LENGTH].tobytes() for i in again]
