@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import add_columns, text_blocks, words
 from .toxicity import labelled_sample
 
-#: Labelled rows of each class (0, 1) that the model is learned from, and passages of each that training draws.
-ROWS_PER_CLASS, TRAIN_PASSAGES = (2500, 2500), 48
+#: Labelled rows of each class (0, 1) that the model is learned from, by all their passages.
+ROWS_PER_CLASS = (2500, 2500)
 #: Bytes of a passage.
 PASSAGE = 400
 #: Sizes of the encoding and of the attention's gate.
@@ -109,8 +109,9 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
     """Gradient descent (Adam) on the weighted log loss of whole documents."""
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    x = np.clip((x - mean) / scale, -6, 6)
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-3
+    x = x if x.dtype == np.float32 else x.astype(np.float32)
+    x = np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -6, 6)
     init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     w = {"E": init(DIM, HIDDEN), "e": np.zeros(HIDDEN), "V": init(HIDDEN, GATE), "U": init(HIDDEN, GATE), "a": init(GATE), "c": init(HIDDEN), "d": np.zeros(1)}
     m1, m2, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
@@ -138,7 +139,11 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, see
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: tuple[int, int] = ROWS_PER_CLASS) -> Model:
-    """A model of docs whose label is 0 or 1; with no row of either class every score is the other's share."""
+    """A model of docs whose label is 0 or 1; with no row of either class every score is the other's share.
+
+    Null counts as an empty text, which is one passage; rows that repeat an id each bear its label; other
+    columns play no part.
+    """
     sampled, have, used = labelled_sample(docs, labels, label, rows, doc_id, text)
     share = have.get(1, 0) / max(1, sum(have.values()))
     flat = Model(np.zeros(DIM), np.ones(DIM), {"E": np.zeros((DIM, HIDDEN)), "e": np.zeros(HIDDEN), "V": np.zeros((HIDDEN, GATE)), "U": np.zeros((HIDDEN, GATE)), "a": np.zeros(GATE), "c": np.zeros(HIDDEN), "d": np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6))])})
@@ -150,26 +155,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
             y = batch.column(1).to_pylist()
             for lo, hi, buf, offs in text_blocks(batch.column(0)):
                 x, first = passages(buf, offs)
-                picked = [x[a:b] if b - a <= TRAIN_PASSAGES else x[a + (np.arange(TRAIN_PASSAGES) * (b - a)) // TRAIN_PASSAGES] for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in picked], pa.binary())], names=["label", "x"])
+                x = x.astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], pa.int32()), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["label", "x"])
 
     got = sampled.mapInArrow(run, "label int, x binary").toArrow()
     if not got.num_rows:
         return flat
     bags = sorted(zip(got.column("label").to_pylist(), got.column("x").to_pylist()))
+    del got
     y = np.array([b[0] for b in bags], float)
     if y.min() == y.max():
         return flat
     each = [np.frombuffer(b[1], np.float32).reshape(-1, DIM) for b in bags]
+    del bags
     first = np.concatenate([[0], np.cumsum([len(e) for e in each])])
     weight = np.where(y == 1, have[1] / max(1, (y == 1).sum()), have[0] / max(1, (y == 0).sum()))
-    return fit(np.concatenate(each).astype(float), first, y, weight / weight.mean())
+    return fit(np.concatenate(each), first, y, weight / weight.mean())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the probability of label 1 for every row, from all passages of its text; null counts as empty.
 
-    Every row and column of docs passes through (one named like the score is replaced).
+    Equal texts have equal scores; an empty table gives an empty result. Every row and column of docs
+    passes through (one named like the score is replaced).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
