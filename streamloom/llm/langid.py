@@ -27,8 +27,8 @@ ORDER = 3
 ROWS_PER_LANGUAGE = 600
 #: Bytes that are told apart; rarer ones share one symbol, whose cost is split evenly.
 SYMBOLS = 127
-#: Numbers in the cost table at most: contexts are kept by frequency.
-CELLS = 12_000_000
+#: Numbers in the cost table for each language: contexts of order 3 are kept by frequency.
+CELLS = 3_000_000
 
 
 @dataclass
@@ -75,11 +75,13 @@ def sample(labelled: DataFrame, doc_id: str, label: str, per_label: int) -> Data
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """A model of the rows of docs whose text and label are not null."""
+    """A model of the rows of docs whose text and label are not null; without one it knows no language.
+
+    Empty texts teach nothing; of rows that repeat an id all or none are sampled, and count each.
+    """
     labelled = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) > 0))
     counted = count_contexts(sample(labelled, doc_id, label, per_language), text, label)
-    # The grams of the sample are bounded by it; those met once only are as good as unseen.
-    table = counted.where("n > 1").toArrow()
+    table = counted.toArrow()  # the grams of the sample, which bounds them
     names = np.array(table.column("label").to_pylist(), object)
     gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
     return build(sorted(set(names)), names, gram, n)
@@ -99,7 +101,7 @@ def build(languages: list[str], names: np.ndarray, gram: np.ndarray, n: np.ndarr
     parts = [rank[(gram >> (9 * k)) & 511] for k in range(ORDER + 1)]  # byte, the one before, ...
     ctx3 = (parts[3] * A + parts[2]) * A + parts[1]
     total3 = np.bincount(ctx3, n, A**3) if len(gram) else np.zeros(A**3)
-    room = max(16, CELLS // (A * size) - A * A - A - 1)
+    room = max(16, CELLS // A - A * A - A - 1)
     deep = np.argsort(-total3, kind="stable")[:room]
     deep = np.sort(deep[total3[deep] > 1])
     # Nodes: 0 the root; 1 .. A order 1; then A*A of order 2; then the kept of order 3.
@@ -147,7 +149,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     """docs with the language of the least code length and its probability given the lengths of all.
 
     `und` with 0 for a null text, one without a letter, or a model of no language; equal lengths go to
-    the first language by code point. Every row and column of docs passes through.
+    the first language by code point. Every row and column of docs passes through, but for columns named
+    like the outputs, which are replaced; texts of any length are scored whole, and an empty table gives
+    an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letters, = fresh(docs, "has_letter")
