@@ -106,6 +106,19 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
     return h, t, s, a, z, p
 
 
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the weighted mean log loss of some documents by the weights."""
+    per = np.diff(first)
+    h, t, s, a, z, p = _forward(w, x, first)
+    dp = weight * (p - y) / len(y)
+    dz = np.repeat(dp[:, None] * w["c"], per, axis=0)
+    inner = (dz * h).sum(1)
+    da = a * (inner - np.repeat(np.add.reduceat(a * inner, first[:-1]), per))
+    dt, ds = da[:, None] * w["a"] * s * (1 - t * t), da[:, None] * w["a"] * t * s * (1 - s)
+    dh = (a[:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
+    return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "a": (t * s).T @ da, "c": z.T @ dp, "d": np.array([dp.sum()])}
+
+
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
     """Gradient descent (Adam) on the weighted log loss of whole documents."""
     rng = np.random.default_rng(seed)
@@ -121,14 +134,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, see
             f = np.concatenate([[0], np.cumsum(per)])
             rows = np.repeat(first[docs] - f[:-1], per) + np.arange(f[-1])
             xb = x[rows]
-            h, t, s, a, z, p = _forward(w, xb, f)
-            dp = weight[docs] * (p - y[docs]) / len(docs)
-            dz = np.repeat(dp[:, None] * w["c"], per, axis=0)
-            inner = (dz * h).sum(1)
-            da = a * (inner - np.repeat(np.add.reduceat(a * inner, f[:-1]), per))
-            dt, ds = da[:, None] * w["a"] * s * (1 - t * t), da[:, None] * w["a"] * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
-            g = {"E": xb.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "a": (t * s).T @ da, "c": z.T @ dp, "d": np.array([dp.sum()])}
+            g = gradient(w, xb, f, y[docs], weight[docs])
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
             for k in w:
