@@ -207,12 +207,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _digests(sketches: DataFrame) -> DataFrame:
-    """id, n, sketch, digest (four bytes of each band's key)."""
+    """id, n, sketch, digest (each band's key, its halves folded into four bytes)."""
     kind = dict(sketches.dtypes)["id"]
 
     def run(batches):
         for batch in batches:
-            keys = (_lists(batch.column(3)).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+            keys = _lists(batch.column(3)).view(np.uint64)
+            keys = (keys ^ (keys >> np.uint64(32))).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "n", "sketch", "digest"])
 
     return sketches.select("id", "n", "sketch", "bands").mapInArrow(run, f"id {kind}, n long, sketch binary, digest binary")
