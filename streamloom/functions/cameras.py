@@ -168,3 +168,11 @@ def standard_resize(height: Column, width: Column, area: int = 384 * 512, multip
     k = F.sqrt(F.lit(float(area)) / (height * width))
     h, w = F.floor(height * k), F.floor(width * k)
     return h, w, h % multiple, w % multiple
+
+
+def horizon_line(roll: Column, pitch: Column, intrinsics: tuple[float, float, float, float], width: int, height: int, relative: bool = True) -> tuple[Column, Column]:
+    """Where the horizon crosses the image's left and right border, as shares of its height (or in pixels)."""
+    fx, fy, cx, cy = intrinsics
+    x, y = F.sin(roll) * F.tan(pitch) * fx + cx, F.cos(roll) * F.tan(pitch) * fy + cy
+    ends = y + x * F.tan(roll), y - (width - x) * F.tan(roll)
+    return tuple(e / height for e in ends) if relative else ends

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The kinds of artifact, with the folder and the ending that each has.
+#: The kinds of artifact, with the folder (None: that of the run's own state) and the ending that each has.
 ARTIFACTS = {
     "rgb": ("rgb", ".mp4"),
     "pose": ("pose", ".npz"),
@@ -14,14 +14,15 @@ ARTIFACTS = {
     "camera": ("intrinsics", "_camera.txt"),
     "mask": ("mask", ".zip"),
     "phrases": ("mask", ".txt"),
-    "info": ("vipe", "_info.pkl"),
-    "map": ("vipe", "_slam_map.pt"),
+    "info": (None, "_info.pkl"),
+    "map": (None, "_slam_map.pt"),
 }
 
 
-def artifact_path(base: Column, name: Column, kind: str) -> Column:
+def artifact_path(base: Column, name: Column, kind: str, state: str = "state") -> Column:
+    """Where an artifact lies; state is the folder of the run's own state, which callers name to read files that others have written."""
     folder, ending = ARTIFACTS[kind]
-    return F.concat(F.concat_ws("/", base, F.lit(folder), name), F.lit(ending))
+    return F.concat(F.concat_ws("/", base, F.lit(folder or state), name), F.lit(ending))
 
 
 def caption(text: Column) -> Column:

@@ -98,6 +98,13 @@ def crop(cells, top: int, bottom: int, left: int, right: int, height: int, width
     return cells.where(inside).withColumn("v", F.col("v") - top).withColumn("u", F.col("u") - left)
 
 
+def uncrop(cells: DataFrame, key: list[str], x: int, y: int, height: int, width: int) -> DataFrame:
+    """Masks of a crop whose corner is (x, y) as masks of the whole image, false around the crop."""
+    image = cells.select(*key).distinct().withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    inside = cells.select(*key, (F.col("v") + y).alias("v"), (F.col("u") + x).alias("u"), F.col("value").alias("_inside"))
+    return image.join(inside, [*key, "v", "u"], "left").select(*key, "v", "u", F.coalesce("_inside", F.lit(False)).alias("value"))
+
+
 def block_pool(cells, key, factor: int, agg: Column) -> DataFrame:
     return cells.groupBy(*key, F.floor(F.col("v") / factor).cast("int").alias("v"), F.floor(F.col("u") / factor).cast("int").alias("u")).agg(agg.alias("value"))
 

@@ -44,8 +44,10 @@ def new_edges(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def evict_oldest(edges: DataFrame, cap: int, age: str, order: str) -> DataFrame:
-    """active: whether an edge is among the `cap` youngest (ties: the later inserted)."""
-    return edges.withColumn("active", F.row_number().over(Window.orderBy(F.col(age), F.col(order).desc())) <= cap)
+    """active: whether an edge is among the `cap` youngest (ties: the later inserted); the order of insertion is unique."""
+    young = edges.orderBy(F.col(age), F.col(order).desc()).limit(cap).select(F.col(order).alias("_young"))
+    # At most cap rows, so the broadcast is bounded by the parameter.
+    return edges.join(F.broadcast(young), F.col(order) == F.col("_young"), "left").withColumn("active", F.col("_young").isNotNull()).drop("_young")
 
 
 def expand_multiview(edges: DataFrame, n_views: int, cross: DataFrame | None = None, view_offset: int = 0) -> DataFrame:
@@ -125,6 +127,15 @@ def xyxy_to_xywh(x0, y0, x1, y1) -> list[Column]:
     return [x0, y0, x1 - x0, y1 - y0]
 
 
+def uncrop_box(box: list[Column], x: Column, y: Column) -> list[Column]:
+    """A box (x0, y0, x1, y1) of a crop whose corner is (x, y), in the image."""
+    return [box[0] + x, box[1] + y, box[2] + x, box[3] + y]
+
+
+def uncrop_point(point: list[Column], x: Column, y: Column) -> list[Column]:
+    return [point[0] + x, point[1] + y]
+
+
 def near_crop_edge(box: list[Column], crop: list[float], image: list[float], atol: float = 20.0) -> Column:
     """Whether a box side is within atol of its crop's side, but not of the image's."""
     out = F.lit(False)

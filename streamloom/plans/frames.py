@@ -56,7 +56,7 @@ def captions_and_paths(read):
     return read("part").select("p_partkey", names.caption(F.col("p_name")).alias("caption"), names.artifact_path(F.lit("out"), F.col("p_partkey").cast("string"), "phrases").alias("path"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS name, 'out/vipe/' || regexp_extract(url, '([^/]+)$', 1) || '_info.pkl' AS info FROM pages""")
+@query("""SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS name, 'out/state/' || regexp_extract(url, '([^/]+)$', 1) || '_info.pkl' AS info FROM pages""")
 def artifact_paths(read):
     p = read("pages").select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("name"))
     return p.select("page_id", "name", names.artifact_path(F.lit("out"), F.col("name"), "info").alias("info"))

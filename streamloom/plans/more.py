@@ -198,3 +198,44 @@ def direction_steps(read):
     n, g = geo.staged(read("nation").select("n_nationkey"), "g", tuple(g))
     h = sampling.direction_step(geo.Vec(*g), size * 0.6, size * 0.8)
     return rounded(n.select("n_nationkey", geo.norm(h).alias("length"), geo.dot(h, g).alias("cosine")))
+
+
+@query("""SELECT vec_id, round(embedding[1] + vec_id % 7, 6) AS x0, round(embedding[2] + vec_id % 5, 6) AS y0, round(embedding[1] + abs(embedding[3]) + vec_id % 7, 6) AS x1,
+round(embedding[2] + abs(embedding[4]) + vec_id % 5, 6) AS y1, round(embedding[5] + vec_id % 7, 6) AS px, round(embedding[6] + vec_id % 5, 6) AS py
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE len(embedding) >= 6)""")
+def uncrop_boxes(read):
+    """Boxes and points of crops, whose corners depend on the row, in their images."""
+    e = lambda k: F.col("embedding")[k].cast("double")
+    x, y = F.col("vec_id") % 7, F.col("vec_id") % 5
+    box = joins.uncrop_box([e(0), e(1), e(0) + F.abs(e(2)), e(1) + F.abs(e(3))], x, y)
+    point = joins.uncrop_point([e(4), e(5)], x, y)
+    rows = read("embeddings").where(F.size("embedding") >= 6)
+    return rounded(rows.select("vec_id", *(c.alias(n) for c, n in zip([*box, *point], ("x0", "y0", "x1", "y1", "px", "py")))))
+
+
+@query(f"""WITH {GRID}, image AS (SELECT vec_id, v, u FROM (SELECT DISTINCT vec_id FROM g), unnest(range(0, 12)) AS a(v), unnest(range(0, 16)) AS b(u))
+SELECT image.vec_id, CAST(image.v AS INTEGER) AS v, CAST(image.u AS INTEGER) AS u, coalesce(g.x > 0, false) AS inside
+FROM image LEFT JOIN g ON g.vec_id = image.vec_id AND g.v + 3 = image.v AND g.u + 5 = image.u""")
+def uncrop_masks(read):
+    from ..operators import grids
+
+    return grids.uncrop(cells(read, F.col("_x").cast("double") > 0), ["vec_id"], 5, 3, 12, 16).withColumnRenamed("value", "inside")
+
+
+@query(f"""WITH {EV}, w AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS k FROM ev),
+r AS (SELECT event_id, stream_id, k, row_number() OVER (ORDER BY stream_id % 13, event_id DESC) <= 48 AS active FROM w) SELECT event_id, active FROM r""")
+def youngest_edges(read):
+    """The 48 youngest of all edges stay active."""
+    e = read("events").select("event_id", (F.col("user_id") % 13).alias("age"))
+    return joins.evict_oldest(e, 48, "age", "event_id").select("event_id", "active")
+
+
+@query("""WITH g AS (SELECT n_nationkey, n_nationkey / 40.0 - 0.3 AS r, 0.4 - n_nationkey / 30.0 AS p FROM nation),
+m AS (SELECT *, 500 * sin(r) * tan(p) + 320 AS x, 510 * cos(r) * tan(p) + 240 AS y FROM g)
+SELECT n_nationkey, round((y + x * tan(r)) / 480, 6) AS left_end, round((y - (640 - x) * tan(r)) / 480, 6) AS right_end FROM m""")
+def horizon_lines(read):
+    from ..functions import cameras
+
+    roll, pitch = F.col("n_nationkey") / 40.0 - 0.3, 0.4 - F.col("n_nationkey") / 30.0
+    left, right = cameras.horizon_line(roll, pitch, (500.0, 510.0, 320.0, 240.0), 640, 480)
+    return rounded(read("nation").select("n_nationkey", left.alias("left_end"), right.alias("right_end")))
