@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,17 +40,14 @@ def fold(doc_id: str, modulus: int) -> Column:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where it names none, the warehouse holds one, which all executors share; an error where that is a
-    local folder of a driver on a cluster.
+    Where it names none, one is made in a single process (tests); on a cluster that is an error.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-            if not sc.master.startswith("local") and folder.startswith(("file:", "/")):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        if not folder and (sc.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
