@@ -106,14 +106,15 @@ def chained_windows(frames: DataFrame, key: list[str], window: str, place: str,
     fits = scale_shift(a.join(b, [*key, "_w", place]), [*key, "_w"], "_x", "_y")
     every = frames.select(*key, F.col(window).alias("_w")).distinct().join(fits, [*key, "_w"], "left")
     every = every.select(*key, "_w", F.coalesce("scale", F.lit(1.0)).alias("_s"), F.coalesce("shift", F.lit(0.0)).alias("_t"))
-    # y = s_1 (s_2 (... s_n x + t_n ...) + t_2) + t_1: fold each prefix of the chain.
-    seq = F.array_sort(F.collect_list(F.struct("_w", "_s", "_t")))
-    chain = every.groupBy(*key).agg(seq.alias("_c"))
-    step = lambda acc, f: F.struct((acc["s"] * f["_s"]).alias("s"), (acc["s"] * f["_t"] + acc["t"]).alias("t"))
-    at = chain.select(*key, "_c", F.explode(F.sequence(F.lit(1), F.size("_c"))).alias("_n"))
-    folded = F.aggregate(F.slice("_c", 1, F.col("_n")), F.struct(F.lit(1.0).alias("s"), F.lit(0.0).alias("t")), step)
-    at = at.select(*key, F.element_at("_c", F.col("_n"))["_w"].alias(window), folded.alias("_f"))
-    return at.select(*key, window, F.col("_f.s").alias("scale"), F.col("_f.t").alias("shift"))
+    # y = s_1 (s_2 (... s_n x + t_n ...) + t_2) + t_1: a window's scale is the product of those up to it, its
+    # shift the sum of each t_k times the product before it. A product is the sum of logarithms, with its sign.
+    w = Window.partitionBy(*key).orderBy("_w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.exp(F.sum(F.log(F.abs(F.when(F.col("_s") != 0, F.col("_s"))))).over(w))
+    sign = 1 - 2 * (F.count_if(F.col("_s") < 0).over(w) % 2)
+    chain = every.withColumn("_p", F.when(F.count_if(F.col("_s") == 0).over(w) > 0, 0.0).otherwise(size * sign))
+    before = F.coalesce(F.lag("_p").over(Window.partitionBy(*key).orderBy("_w")), F.lit(1.0))
+    chain = chain.withColumn("_b", before * F.col("_t"))
+    return chain.select(*key, F.col("_w").alias(window), F.col("_p").alias("scale"), F.sum("_b").over(w).alias("shift"))
 
 
 def correlation_lookup(volume: DataFrame, coords: DataFrame, edge: list[str], radius: int, height: int, width: int) -> DataFrame:

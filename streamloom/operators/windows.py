@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def exclusive_prefix(rows: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -20,11 +22,15 @@ def carry_forward(rows: DataFrame, key: list[str], order: list[str], value: Colu
 def ema(rows: DataFrame, key: list[str], order: list[str], value: str, momentum: float = 0.99) -> DataFrame:
     """key, n, ema: the exponential average of each group's values in order, seeded with the first; nulls keep the last.
 
-    A fold over the group's sorted values in an array: a stream's length bounds it.
+    In closed form: the value that r non-null ones follow weighs (1 - momentum) * momentum**r, the first one
+    what is left. One shuffle and a window that spills, whatever a group's length.
     """
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x")))), lambda s: s["_x"])
-    fold = F.aggregate("_xs", F.lit(None).cast("double"), lambda a, x: F.when(x.isNull(), a).when(a.isNull(), x).otherwise(a * momentum + x * (1 - momentum)))
-    return rows.groupBy(*key).agg(seq.alias("_xs")).select(*key, F.size("_xs").alias("n"), fold.alias("ema"))
+    x = F.col(value).cast("double")
+    after = Window.partitionBy(*key).orderBy(*(F.col(o).desc() for o in order)).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.select(*key, x.alias("_x"), F.count(x).over(after).alias("_r"))
+    r = F.when(F.col("_x").isNotNull(), F.col("_r"))
+    total = (1 - momentum) * F.sum(F.col("_x") * F.pow(F.lit(momentum), r)) + F.max_by("_x", r) * F.pow(F.lit(momentum), F.max(r) + 1)
+    return ranked.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n"), total.alias("ema"))
 
 
 def overlap_blend(rows: DataFrame, key: list[str], place: str, value: Column, size: int = 10, overlap: int = 3) -> DataFrame:
@@ -78,18 +84,28 @@ def islands(rows: DataFrame, key: list[str], order: list[str], on: Column) -> Da
 def keep_moved(rows: DataFrame, key: list[str], order: list[str], value: str, threshold: float) -> DataFrame:
     """Keyframes: the first row of each stream, and each whose value is at least `threshold` from the last keyframe's.
 
-    Whether a row is kept depends on the last one kept, so it is a fold over the stream's rows in order.
+    Whether a row is kept depends on the last one kept, so sorted partitions are folded batch by batch: a task
+    holds one batch and the last keyframe, whatever a stream's length. The first row of a stream is kept even
+    where its value is null, and so is every row up to its first value; later nulls are not.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x"))))
-    state = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        keep = s["last"].isNull() | (F.abs(x["_x"] - s["last"]) >= threshold)
-        return F.struct(F.when(keep, x["_x"]).otherwise(s["last"]).alias("last"), F.concat(s["kept"], F.array(F.coalesce(keep, F.lit(False)))).alias("kept"))
-
-    folded = rows.groupBy(*key).agg(items.alias("_items")).withColumn("_kept", F.aggregate("_items", state, step, lambda s: s["kept"]))
-    out = folded.select(*key, F.explode(F.arrays_zip("_items", "_kept")).alias("z"))
-    return out.select(*key, *(F.col(f"z._items.{o}").alias(o) for o in order), F.col("z._items._x").alias(value), F.col("z._kept").alias("keyframe"))
+    n = len(key)
+    kept = rows.select(*key, *order, F.col(value).cast("double").alias(value))
+    schema = T.StructType([*kept.schema.fields, T.StructField("keyframe", T.BooleanType(), False)])
+
+    def fold(batches):
+        stream = last = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n)))) if n else [()] * batch.num_rows
+            marks = []
+            for k, x in zip(keys, batch.column(batch.num_columns - 1).to_pylist()):
+                if k != stream:
+                    stream, last = k, None
+                keep = last is None or (x is not None and abs(x - last) >= threshold)
+                last = x if keep else last
+                marks.append(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.bool_())], names=schema.names)
+
+    return kept.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(fold, schema)
 
 
 def neighbours_agree(rows: DataFrame, key: list[str], place: str, value: str, radius: int, tolerance: float) -> DataFrame:

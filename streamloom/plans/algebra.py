@@ -11,7 +11,7 @@ from .base import QUERIES, cells, frames, query, rounded
 def _scatter(kind: str, sql: str, empty: str):
     @query(f"""SELECT i AS index, round(coalesce(x, {empty}), 4) AS value FROM (SELECT unnest(range(60)) AS i) LEFT JOIN (SELECT CAST(l_quantity AS BIGINT) AS k, {sql} AS x FROM lineitem GROUP BY 1) ON i = k""")
     def run(read):
-        return rounded(segments.scatter(read("lineitem"), "l_quantity", "l_discount" if kind != "mul" else "f", kind, 60), 4) if kind != "mul" else rounded(segments.scatter(read("lineitem").where("l_orderkey < 3000").withColumn("f", 1 + F.col("l_tax") / 100), "l_quantity", "f", "mul", 60), 4)
+        return rounded(segments.scatter(read("lineitem"), "l_quantity", "l_discount" if kind != "mul" else "f", kind, 60), 4) if kind != "mul" else rounded(segments.scatter(read("lineitem").withColumn("f", 1 + (F.col("l_tax") - 0.04) / 100), "l_quantity", "f", "mul", 60), 4)
 
     return run
 
@@ -19,7 +19,7 @@ def _scatter(kind: str, sql: str, empty: str):
 def _register_scatter():
     from .base import ORACLE_SQL
 
-    for kind, sql, empty in (("sum", "sum(l_discount)", "0"), ("mean", "avg(l_discount)", "0"), ("mul", "product(CASE WHEN l_orderkey < 3000 THEN 1 + l_tax / 100 ELSE 1 END)", "1")):
+    for kind, sql, empty in (("sum", "sum(l_discount)", "0"), ("mean", "avg(l_discount)", "0"), ("mul", "product(1 + (l_tax - 0.04) / 100)", "1")):
         _scatter(kind, sql, empty)
         QUERIES[f"scatter_{kind}"], ORACLE_SQL[f"scatter_{kind}"] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
 

@@ -55,31 +55,35 @@ def panorama_scales(read):
     return rounded(maps.carried_scales(r, ["stream_id"], "f", F.count(F.lit(1)), 0.4))
 
 
-@query(f"""WITH {EV} SELECT DISTINCT stream_id, CAST(raw_frame_idx // 8 AS BIGINT) AS w, round(pow(2.0, raw_frame_idx // 8), 4) AS scale, round(3.0 * (pow(2.0, raw_frame_idx // 8) - 1), 4) AS shift FROM ev WHERE raw_frame_idx < 32 AND stream_id IN (SELECT stream_id FROM ev GROUP BY 1 HAVING count(*) > 36)""")
+@query(f"""WITH {EV}, n AS (SELECT stream_id, greatest(count(*) // 8 - 1, 0) AS last FROM ev GROUP BY 1)
+SELECT stream_id, CAST(w AS BIGINT) AS w, CASE WHEN w % 2 = 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS scale, CASE WHEN w % 2 = 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS shift FROM (SELECT stream_id, unnest(range(last + 1)) AS w FROM n)""")
 def video_depth_chain(read):
-    """Windows of a video model, each off by the same scale and shift from the one before, are chained back."""
+    """Windows of a video model over whole streams, every other one off by a scale and a shift, are chained back.
+
+    Windows of 8 frames share 4 with the one before; the last takes what is left of its stream.
+    """
     f = frames(read).select("stream_id", "raw_frame_idx", "value")
-    long = f.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n")).where("n > 36").select("stream_id")
-    f = f.join(long, "stream_id").where("raw_frame_idx < 36")
-    own = F.floor(F.col("raw_frame_idx") / 8).cast("long")
-    f = f.withColumn("w", F.explode(F.when((own > 0) & (F.col("raw_frame_idx") % 8 < 4), F.array(own - 1, own)).otherwise(F.array(own))))
-    f = f.where("w < 4").withColumn("x", (F.col("value") - 3.0 * (F.pow(F.lit(2.0), "w") - 1)) / F.pow(F.lit(2.0), "w"))
+    n = f.groupBy("stream_id").agg(F.greatest(F.floor(F.count(F.lit(1)) / 8) - 1, F.lit(0)).alias("last"))
+    f = f.join(n, "stream_id").withColumn("own", F.least(F.floor(F.col("raw_frame_idx") / 8), F.col("last")))
+    own = F.col("own")
+    f = f.withColumn("w", F.explode(F.when((own > 0) & (F.col("raw_frame_idx") - own * 8 < 4), F.array(own - 1, own)).otherwise(F.array(own))))
+    f = f.withColumn("x", F.when(F.col("w") % 2 == 1, (F.col("value") - 3.0) / 2).otherwise(F.col("value")))
     return rounded(maps.chained_windows(f, ["stream_id"], "w", "raw_frame_idx", "x", 4), 4)
 
 
-@query(f"""WITH a AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 50), g AS (SELECT vec_id, CAST((p - 1) // 8 AS INTEGER) AS v, CAST((p - 1) % 8 AS INTEGER) AS u, CAST(embedding[p] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM a))
+@query(f"""WITH a AS (SELECT vec_id, embedding FROM embeddings), g AS (SELECT vec_id, CAST((p - 1) // 8 AS INTEGER) AS v, CAST((p - 1) % 8 AS INTEGER) AS u, CAST(embedding[p] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM a))
 SELECT s.vec_id AS e, s.v, s.u, CAST(t.v // 2 AS INTEGER) AS tv, CAST(t.u // 2 AS INTEGER) AS tu, round(avg(s.x * t.x), 6) AS value FROM g s JOIN g t ON t.vec_id = s.vec_id WHERE s.v = s.u GROUP BY 1, 2, 3, 4, 5""")
 def corr_pyramid(read):
     return rounded(maps.correlation_pyramid(_volume(read), ["e"], 1))
 
 
 def _volume(read):
-    c = cells(read).where("vec_id < 50").select(F.col("vec_id").alias("e"), "v", "u", "value")
+    c = cells(read).select(F.col("vec_id").alias("e"), "v", "u", "value")
     t = c.select("e", F.col("v").alias("tv"), F.col("u").alias("tu"), F.col("value").alias("y"))
     return c.where("v = u").join(t, "e").select("e", "v", "u", "tv", "tu", (F.col("value") * F.col("y")).alias("value"))
 
 
-@query("""WITH a AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 50), g AS (SELECT vec_id, CAST((p - 1) // 8 AS INTEGER) AS v, CAST((p - 1) % 8 AS INTEGER) AS u, CAST(embedding[p] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM a)),
+@query("""WITH a AS (SELECT vec_id, embedding FROM embeddings), g AS (SELECT vec_id, CAST((p - 1) // 8 AS INTEGER) AS v, CAST((p - 1) % 8 AS INTEGER) AS u, CAST(embedding[p] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM a)),
 w AS (SELECT s.vec_id AS e, s.v, s.u, s.x AS sx, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, s.u + dx AS x0, s.v + dy AS y0 FROM g s, (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx) WHERE s.v = s.u)
 SELECT w.e, w.v, w.u, dy, dx, round(w.sx * (0.75 * coalesce(a.x, 0) + 0.25 * coalesce(b.x, 0)), 6) AS value FROM w LEFT JOIN g a ON a.vec_id = w.e AND a.v = y0 AND a.u = x0 LEFT JOIN g b ON b.vec_id = w.e AND b.v = y0 AND b.u = x0 + 1""")
 def corr_lookup(read):

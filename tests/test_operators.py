@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from streamloom.functions import cameras as cam
 from streamloom.functions import geometry as geo
 from streamloom.functions import text
-from streamloom.operators import align, blocks, greedy, grids, joins, models, segments, solver, streams, windows
+from streamloom.operators import align, blocks, greedy, grids, joins, maps, models, segments, solver, streams, windows
 from streamloom.sources import artifacts, codecs
 
 
@@ -276,3 +276,47 @@ def test_map_points_and_warps(spark):
     assert got == pytest.approx({(v, u): v * 4.0 + u for v in range(4) for u in range(4)})
     kept = maps.keep_consistent(spark.createDataFrame([(0, 1.0, 3, False), (0, 0.1, 3, False), (0, 1.0, 0, False), (0, 1.0, 3, True)], "kf int, disp double, n int, masked boolean"), F.col("n"), F.lit(5))
     assert kept.count() == 1
+
+
+def test_long_streams_fold_in_linear_time(spark):
+    """One stream of 100,000 rows with nulls: average and keyframes as a loop finds them."""
+    n = 100_000
+    values = [None if i % 7 == 3 else float((i * 7919) % 1000) for i in range(n)]
+    rows = spark.createDataFrame(pd.DataFrame({"k": 1, "i": range(n), "x": pd.Series(values, dtype="Float64").astype(object).where(pd.notna(values), None)}), "k int, i long, x double")
+    average = last = None
+    kept = []
+    for x in values:
+        if x is not None:
+            average = x if average is None else 0.9 * average + 0.1 * x
+        keep = last is None or (x is not None and abs(x - last) >= 300.0)
+        last = x if keep else last
+        kept.append(keep)
+    got = windows.ema(rows, ["k"], ["i"], "x", 0.9).collect()
+    assert [(r.k, r.n) for r in got] == [(1, n)] and abs(got[0].ema - average) < 1e-6
+    found = windows.keep_moved(rows, ["k"], ["i"], "x", 300.0).orderBy("i").collect()
+    assert [r.keyframe for r in found] == kept and [r.x for r in found] == values
+
+
+def test_folds_of_empty_and_null_streams(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, None), (2, 0, None), (2, 1, 5.0), (2, 2, 5.5), (2, 3, None)], "k int, i int, x double")
+    assert {(r.k, r.n, r.ema) for r in windows.ema(rows, ["k"], ["i"], "x", 0.5).collect()} == {(1, 2, None), (2, 4, 5.25)}
+    kept = {(r.k, r.i): r.keyframe for r in windows.keep_moved(rows, ["k"], ["i"], "x", 1.0).collect()}
+    assert kept == {(1, 0): True, (1, 1): True, (2, 0): True, (2, 1): True, (2, 2): False, (2, 3): False}
+    assert windows.ema(rows.limit(0), ["k"], ["i"], "x").count() == 0
+    assert windows.keep_moved(rows.limit(0), ["k"], ["i"], "x", 1.0).count() == 0
+
+
+def test_chain_of_fits_with_negative_scales(spark):
+    """400 windows whose scales change their sign: each is brought back to the first one's values."""
+    rng = np.random.default_rng(5)
+    truth = rng.normal(size=400 * 4 + 8)
+    rows, scales = [], []
+    for w in range(400):
+        s, t = (-1.0) ** (w // 3) * (0.5 + (w % 5) / 4), float(w % 4)
+        scales.append((w, s, t))
+        rows += [(w, int(i), float((truth[i] - t) / s)) for i in range(4 * w, 4 * w + 8)]
+    f = spark.createDataFrame(rows, "w int, i int, x double").withColumn("k", F.lit(1))
+    got = sorted((r.w, r.scale, r.shift) for r in maps.chained_windows(f, ["k"], "w", "i", "x", 4).collect())
+    # The first window is the measure of all.
+    _, s0, t0 = scales[0]
+    assert np.allclose([g[1:] for g in got], [(s / s0, (t - t0) / s0) for _, s, t in scales], atol=1e-6)
