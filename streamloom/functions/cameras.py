@@ -176,3 +176,19 @@ def horizon_line(roll: Column, pitch: Column, intrinsics: tuple[float, float, fl
     x, y = F.sin(roll) * F.tan(pitch) * fx + cx, F.cos(roll) * F.tan(pitch) * fy + cy
     ends = y + x * F.tan(roll), y - (width - x) * F.tan(roll)
     return tuple(e / height for e in ends) if relative else ends
+
+
+def scaled_jacobian(j: list[list[Column]], s: Column | float) -> list[list[Column]]:
+    """A Jacobian by the intrinsics of an image scaled by s: every entry times s, that of the distortion too."""
+    return [[x * s for x in row] for row in j]
+
+
+#: Pinhole camera (fx, fy, cx, cy) that stands for a panorama: 512 x 256 pixels, 90 degrees wide.
+PANORAMA_PINHOLE = (256.0, 256.0, 256.0, 128.0)
+
+
+def project_any(kind: Column, p: Vec, k: list[Column]) -> tuple[Column, Column]:
+    """Projection by each row's own camera type (PINHOLE, MEI, PANORAMA); k: fx, fy, cx, cy, k1. Other types give null."""
+    made = {"PINHOLE": pinhole_project(p, *k[:4]), "MEI": mei_project(p, *k[:5]), "PANORAMA": panorama_project(p)}
+    pick = lambda i: F.coalesce(*(F.when(kind == name, uv[i]) for name, uv in made.items()))
+    return pick(0), pick(1)

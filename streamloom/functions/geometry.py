@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 1e-8
+PI = 3.141592653589793
 
 
 class Vec(NamedTuple):
@@ -371,5 +372,47 @@ def gravity_from_rp(roll: Column, pitch: Column) -> Vec:
 
 def rp_from_gravity(g: Vec) -> tuple[Column, Column]:
     roll = F.asin(-g.x / F.sqrt(F.greatest(1 - g.z * g.z, F.lit(1e-12))))
-    offset = F.when(F.signum(g.x) == 0, -F.lit(3.141592653589793)).otherwise(-F.lit(3.141592653589793) * F.signum(g.x))
+    offset = F.when(F.signum(g.x) == 0, -F.lit(PI)).otherwise(-F.lit(PI) * F.signum(g.x))
     return F.when(g.y < 0, roll).otherwise(offset - roll), F.asin(g.z)
+
+
+# -- steps of a solver -------------------------------------------------------------------------
+
+
+def retract_rotation(phi: Vec, x: SE3) -> SE3:
+    """A pose of a rig after a step that may only turn it; its place turns too, as the step acts from the left."""
+    return se3_retract(vec(0.0, 0.0, 0.0), phi, x)
+
+
+def retract_disparity(disparity: Column, step: Column) -> Column:
+    """A dense disparity after a step; steps above 10 count as none."""
+    return disparity + F.when(step > 10, 0.0).otherwise(step)
+
+
+def retract_track_disparity(disparity: Column, step: Column) -> Column:
+    """A track's disparity after a step, within 0.001 and 10."""
+    return F.least(F.lit(10.0), F.greatest(F.lit(1e-3), disparity + step))
+
+
+def retract_intrinsics(intrinsics: Column, step: Column) -> Column:
+    """(fx, fy, cx, cy, distortion ...) after a step (focal, distortion ...): one focal step, a hundredth of the others."""
+    return F.transform(intrinsics, lambda x, i: x + F.when(i < 2, step[0]).when(i < 4, 0.0).otherwise(0.01 * F.get(step, i - 3)))
+
+
+def sim3_apply_rig(a: Sim3, x: SE3, right: Vec) -> SE3:
+    """A pose of a rig of which only the translation is known: the transform, the pose, then the translation."""
+    moved = sim3_mul(a, Sim3(x.t, x.q, F.lit(1.0)))
+    done = sim3_mul(moved, Sim3(right, identity_quat(), F.lit(1.0)))
+    return SE3(done.t, done.q)
+
+
+def random_normal(seed: int, *key: str) -> Column:
+    """A standard normal of a row's key: the same on every run and under every partitioning."""
+    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * PI * unit(1))
+
+
+def random_se3(sigma: float, seed: int, *key: str) -> SE3:
+    """exp of six independent normals of deviation sigma."""
+    draw = [random_normal(seed * 6 + k, *key) * sigma for k in range(6)]
+    return se3_exp(Vec(*draw[:3]), Vec(*draw[3:]))

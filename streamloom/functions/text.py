@@ -64,3 +64,8 @@ def model_name(text: Column) -> tuple[Column, Column]:
     """`name-sub` as its two parts; the second is empty where there is none."""
     p = F.split(text, "-", 2)
     return p[0], F.coalesce(F.get(p, F.lit(1)), F.lit(""))
+
+
+def required(value: Column, name: str) -> Column:
+    """The value; a null is an error that names it."""
+    return F.when(value.isNull(), F.raise_error(F.lit(f"{name} is missing"))).otherwise(value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from streamloom.functions import cameras as cam
 from streamloom.functions import geometry as geo
 from streamloom.functions import text
-from streamloom.operators import align, blocks, greedy, grids, joins, maps, models, segments, solver, streams, windows
+from streamloom.operators import align, blocks, greedy, grids, images, joins, maps, models, segments, solver, streams, windows
 from streamloom.sources import artifacts, codecs
 
 
@@ -320,3 +320,48 @@ def test_chain_of_fits_with_negative_scales(spark):
     # The first window is the measure of all.
     _, s0, t0 = scales[0]
     assert np.allclose([g[1:] for g in got], [(s / s0, (t - t0) / s0) for _, s, t in scales], atol=1e-6)
+
+
+def test_random_poses_are_normal_and_repeat(spark):
+    rows = spark.range(20_000).select("id")
+    x = rows.select("id", geo.random_normal(3, "id").alias("x"), geo.random_normal(4, "id").alias("y"))
+    m = x.agg(F.avg("x"), F.stddev("x"), F.corr("x", "y"), F.skewness("x"), F.kurtosis("x")).first()
+    assert np.allclose(m, (0, 1, 0, 0, 0), atol=0.08)
+    assert x.repartition(7).exceptAll(x).count() == 0
+
+
+def test_sizes_by_hand(spark):
+    one = spark.range(1).select(F.lit(480).alias("h"), F.lit(642).alias("w"))
+    k = tuple(map(F.lit, (100.0, 100.0, 321.0, 240.0)))
+    h, w, (fx, fy, cx, cy) = images.process_size(F.col("h"), F.col("w"), k)
+    # 504 / 642 of 480 is 376.8: 377 rows, of which 378 is the nearest multiple of 14.
+    assert tuple(one.select(h, w, fx, cy).first()) == pytest.approx((378, 504, 100 * 504 / 642, 240 * 378 / 480))
+    h, w, (fx, fy, cx, cy) = images.process_size(F.col("h"), F.col("w"), k, method="lower_bound_crop")
+    # 504 rows, 674.1 columns: 674, cut to 672 by one on the left.
+    assert tuple(one.select(h, w, fy, cx).first()) == pytest.approx((504, 672, 105.0, 321 * 674 / 642 - 1))
+    assert tuple(one.select(*images.fit_margins(F.col("h"), F.col("w"), 32, "left")).first()) == (0, 30, 0, 0)
+    assert tuple(one.select(*images.fit_margins(F.col("h"), F.col("w"), 32, crop=True)).first()) == (-1, -1, 0, 0)
+    for bad in ("upper_resize", "upper_bound_pad"):
+        with pytest.raises(ValueError):
+            images.process_size(F.col("h"), F.col("w"), k, method=bad)
+
+
+def test_colours_marks_and_nulls(spark):
+    levels = spark.createDataFrame([(0,), (31,), (128,), (255,)], "l int")
+    assert [r.c for r in levels.select(images.jet(F.col("l")).alias("c")).collect()] == [[0, 0, 128], [0, 0, 252], [130, 255, 126], [128, 0, 0]]
+    phrases = F.create_map(F.lit(1), F.lit("sky"), F.lit(2), F.lit("tree"))
+    ids = spark.createDataFrame([(1,), (2,), (None,)], "i int")
+    assert [r.s for r in ids.select(images.sky(F.col("i"), phrases).alias("s")).collect()] == [True, False, False]
+    assert [r.s for r in ids.select(images.sky(F.col("i"), F.lit(None).cast("map<int,string>")).alias("s")).collect()] == [False] * 3
+    s = spark.createDataFrame([(0, 1, 0, 0, 4, 2), (0, 2, 3, 3, 3, 3), (0, 3, -2, 1, 1, 1)], "k int, n int, x0 int, y0 int, x1 int, y1 int")
+    got = {(r.v, r.u): r.n for r in images.lines_raster(s, ["k"], "n", 4, 5).collect()}
+    assert got == {(0, 0): 1, (1, 1): 3, (1, 2): 1, (2, 3): 1, (2, 4): 1, (3, 3): 2, (1, 0): 3}
+    with pytest.raises(Exception, match="pose is missing"):
+        ids.select(text.required(F.col("i"), "pose")).collect()
+
+
+def test_antialiased_resize_keeps_constants_and_enlarges(spark):
+    c = spark.createDataFrame([(0, v, u, 2.5) for v in range(5) for u in range(7)], "k int, v int, u int, value double")
+    for size in ((2, 3), (9, 11), (5, 7)):
+        got = images.resize_antialiased(c, ["k"], 5, 7, *size).collect()
+        assert len(got) == size[0] * size[1] and all(abs(r.value - 2.5) < 1e-12 for r in got)
