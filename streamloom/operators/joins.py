@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], direction: str = "backward") -> DataFrame:
@@ -73,30 +76,97 @@ def shared_keypoints(tracks: DataFrame, source: int, target: int) -> DataFrame:
     return s.join(t, ["view_idx", "kp_id"])
 
 
+#: Points of a leaf of the tree that nearest() searches.
+LEAF = 64
+
+
+def _leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Positions of points in leaves of LEAF at most, by halving the widest side again and again."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= LEAF:
+            out.append(at)
+            continue
+        part = x[at]
+        widest = int(np.argmax(part.max(0) - part.min(0)))
+        order = np.argpartition(part[:, widest], len(at) // 2)
+        todo += [at[order[len(at) // 2 :]], at[order[: len(at) // 2]]]
+    return out
+
+
+def _search(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, positions) of each query's k nearest points, ties to the smaller position; missing ones at infinity.
+
+    A leaf of queries meets the leaves of points from the nearest box on, until the next box is further
+    than the k-th point of each of its queries.
+    """
+    near, found = np.full((len(queries), k), np.inf), np.full((len(queries), k), len(points))
+    leaves = _leaves(points)
+    low, high = (np.array([f(points[at], 0) for at in leaves]) for f in (np.min, np.max))
+    least = np.array([at.min() for at in leaves])
+    for block in _leaves(queries):
+        q = queries[block]
+        gap = np.maximum(0.0, np.maximum(low - q.max(0), q.min(0) - high))
+        gap = sum(g * g for g in gap.T)
+        order = np.lexsort((least, gap))
+        best, where = near[block], found[block]
+        for at in range(0, len(order), 4):
+            # A box at just the k-th distance may hold a tie, but only where its least position is smaller.
+            far, last = best[:, -1].max(), where[:, -1].max()
+            some = [j for j in order[at : at + 4] if gap[j] < far or (gap[j] == far and least[j] < last)]
+            if not some:
+                break
+            rows = np.concatenate([leaves[j] for j in some])
+            d = sum((a[:, None] - b[None]) ** 2 for a, b in zip(q.T, points[rows].T))
+            d, w = np.concatenate([best, d], 1), np.concatenate([where, np.broadcast_to(rows, d.shape)], 1)
+            first = np.lexsort((w, d), axis=1)[:, :k]
+            best, where = np.take_along_axis(d, first, 1), np.take_along_axis(w, first, 1)
+        near[block], found[block] = best, where
+    return near, found
+
+
 def nearest(queries: DataFrame, rows: DataFrame, key: list[str], dims: list[str], k: int, query_id: str, row_id: str) -> DataFrame:
     """The k nearest rows of each query of the same key: squared distance, ties to the smaller id.
 
-    Both sides meet within their key (a frame, a view), whose size the caller bounds.
+    One task searches a key's points (a frame's, a view's: the caller bounds them) by a tree, without
+    forming pairs. Points with a null or NaN coordinate take no part; fewer than k rows give fewer ranks.
     """
-    q = queries.select(*key, F.col(query_id).alias("query"), *(F.col(d).alias(f"_q{d}") for d in dims))
-    r = rows.select(*key, F.col(row_id).alias("row"), *(F.col(d).alias(f"_r{d}") for d in dims))
-    d2 = None
-    for d in dims:
-        x = (F.col(f"_q{d}") - F.col(f"_r{d}")).cast("double")
-        d2 = x * x if d2 is None else d2 + x * x
-    pairs = q.join(r, key).select(*key, "query", "row", d2.alias("dist2"))
-    w = Window.partitionBy(*key, "query").orderBy("dist2", "row")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def points(df: DataFrame, name: str) -> DataFrame:
+        at = [F.col(d).cast("double").alias(f"_{i}") for i, d in enumerate(dims)]
+        out = df.select(*key, F.col(name).alias("_id"), *at)
+        for i in range(len(dims)):
+            out = out.where(F.col(f"_{i}").isNotNull() & ~F.isnan(f"_{i}"))
+        return out
+
+    q, r = points(queries, query_id), points(rows, row_id)
+    found = [*(q.schema[c] for c in key), T.StructField("query", q.schema["_id"].dataType), T.StructField("row", r.schema["_id"].dataType)]
+    schema = T.StructType([*found, T.StructField("dist2", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    names = [f"_{i}" for i in range(len(dims))]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("_id")
+        a, b = (np.column_stack([t.column(n).to_numpy() for n in names]) for t in (left, right))
+        if not len(a) or not len(b):
+            a = a[:0]
+            near, at = np.empty((0, k)), np.empty((0, k), int)
+        else:
+            near, at = _search(a, b, k)
+        hit, rank = np.nonzero(at < len(b))
+        columns = [left.column(c).take(pa.array(hit)) for c in [*key, "_id"]]
+        columns += [right.column("_id").take(pa.array(at[hit, rank])), pa.array(near[hit, rank]), pa.array((rank + 1).astype(np.int32))]
+        return pa.table(columns, names=schema.names)
+
+    return q.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(search, schema)
 
 
 def infill_mean(cells: DataFrame, key: list[str], k: int = 5) -> DataFrame:
     """Missing cells (value is null) by the mean of their k nearest known cells of the same grid."""
-    place = F.struct("v", "u")
     numbered = cells.withColumn("_id", F.col("v") * 65536 + F.col("u"))
     near = nearest(numbered.where("value is null"), numbered.where("value is not null"), key, ["v", "u"], k, "_id", "_id")
     known = numbered.where("value is not null").select(*key, F.col("_id").alias("row"), "value")
     fill = near.join(known, [*key, "row"]).groupBy(*key, F.col("query").alias("_id")).agg(F.avg("value").alias("_fill"))
-    del place
     return numbered.join(fill, [*key, "_id"], "left").withColumn("value", F.coalesce("value", "_fill")).drop("_id", "_fill")
 
 

@@ -365,3 +365,34 @@ def test_antialiased_resize_keeps_constants_and_enlarges(spark):
     for size in ((2, 3), (9, 11), (5, 7)):
         got = images.resize_antialiased(c, ["k"], 5, 7, *size).collect()
         assert len(got) == size[0] * size[1] and all(abs(r.value - 2.5) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("shape", ["lattice", "cloud", "one place", "few"])
+def test_nearest_equals_brute_force(spark, shape):
+    """Ties, repeated points, several keys, keys without rows, null coordinates."""
+    rng = np.random.default_rng(3)
+    n = 4 if shape == "few" else 700
+    x = {"lattice": rng.integers(0, 12, (n, 2)), "cloud": rng.normal(size=(n, 2)), "one place": np.ones((n, 2)), "few": rng.normal(size=(n, 2))}[shape].astype(float)
+    p = pd.DataFrame({"k": np.arange(n) % 2, "id": rng.permutation(n), "a": x[:, 0], "b": x[:, 1]})
+    q = spark.createDataFrame([(int(r.k), int(r.id), float(r.a), float(r.b)) for r in p.itertuples()] + [(0, 9000, None, 1.0), (7, 9001, 1.0, 1.0)], "k int, id long, a double, b double")
+    r = q.where("k <> 7 and id % 3 <> 0")
+    got = {(x.k, x["query"], x["rank"]): (x["row"], x.dist2) for x in joins.nearest(q, r, ["k"], ["a", "b"], 5, "id", "id").collect()}
+    want = {}
+    for s in p.itertuples():
+        others = p[(p.k == s.k) & (p.id % 3 != 0)]
+        d = (s.a - others.a) ** 2 + (s.b - others.b) ** 2
+        for rank, (dist, i) in enumerate(sorted(zip(d, others.id))[:5], 1):
+            want[s.k, s.id, rank] = (i, dist)
+    assert got == want
+
+
+def test_half_missing_image_is_filled_in_seconds(spark):
+    """One frame of 384 x 512, half of it missing in one piece: all pairs would be ten thousand million."""
+    import time
+
+    cells = spark.range(384 * 512).select(F.lit(0).alias("k"), F.floor(F.col("id") / 512).cast("int").alias("v"), (F.col("id") % 512).cast("int").alias("u"))
+    cells = cells.withColumn("value", F.when((F.col("u") < 200) | (F.col("v") % 7 == 0), F.col("v").cast("double")))
+    began = time.monotonic()
+    got = joins.infill_mean(cells, ["k"]).agg(F.count("value"), F.max(F.abs(F.col("value") - F.col("v")))).first()
+    assert got[0] == 384 * 512 and got[1] < 8
+    assert time.monotonic() - began < 120
