@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import Vec, dot, norm, scale
+from .geometry import SE3, Vec, dot, norm, scale, se3_act_homogeneous, se3_inv, se3_mul
 
 #: Depths below this are projected as if they were 1.
 MIN_DEPTH = 0.1
@@ -192,3 +192,16 @@ def project_any(kind: Column, p: Vec, k: list[Column]) -> tuple[Column, Column]:
     made = {"PINHOLE": pinhole_project(p, *k[:4]), "MEI": mei_project(p, *k[:5]), "PANORAMA": panorama_project(p)}
     pick = lambda i: F.coalesce(*(F.when(kind == name, uv[i]) for name, uv in made.items()))
     return pick(0), pick(1)
+
+
+def track_residual(u, v, disparity: Column, pose_i: SE3, pose_j: SE3, rig_i: SE3, rig_j: SE3, k: list, target: tuple[Column, Column]) -> tuple[Column, Column, Column, Column, Column]:
+    """A track's residual (x, y) in view j, its derivatives by the disparity, and whether its point is in front.
+
+    Poses are world to camera, rigs camera to rig; the residual is the projection less the target. The
+    chain of poses is deep: stage them where many rows are at stake.
+    """
+    rel = se3_mul(se3_mul(se3_inv(rig_j), pose_j), se3_mul(se3_inv(pose_i), rig_i))
+    p = Vec(*se3_act_homogeneous(rel, pinhole_unproject(u, v, *k), disparity))
+    x, y = pinhole_project(p, *k)
+    jx, jy = (sum((a * b for a, b in zip(row[1:], rel.t[1:])), row[0] * rel.t[0]) for row in pinhole_project_jacobian(p, k[0], k[1]))
+    return x - target[0], y - target[1], jx, jy, p.z > MIN_DEPTH

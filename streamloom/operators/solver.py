@@ -48,6 +48,17 @@ def pose_exp(xi: np.ndarray) -> np.ndarray:
     return np.concatenate([tau + a * one + b * np.cross(phi, one), phi * s, c], -1)
 
 
+def pose_log(p: np.ndarray) -> np.ndarray:
+    q = np.where(p[..., 6:] < 0, -p[..., 3:], p[..., 3:])
+    n = np.linalg.norm(q[..., :3], axis=-1, keepdims=True)
+    phi = q[..., :3] * np.where(n < 1e-9, 2.0, 2 * np.arctan2(n, q[..., 3:]) / np.maximum(n, 1e-30))
+    th2 = (phi * phi).sum(-1, keepdims=True)
+    th = np.sqrt(np.maximum(th2, 1e-30))
+    c = np.where(th2 < 1e-8, 1 / 12, (1 - th * np.cos(th / 2) / (2 * np.maximum(np.sin(th / 2), 1e-30))) / np.maximum(th2, 1e-30))
+    one = np.cross(phi, p[..., :3])
+    return np.concatenate([p[..., :3] - one / 2 + c * np.cross(phi, one), phi], -1)
+
+
 def adjoint_t(p: np.ndarray, J: np.ndarray) -> np.ndarray:
     """Rows J (..., 6) times the adjoint of p."""
     R = np.stack([quat_rotate(p[..., 3:], np.broadcast_to(e, p[..., :3].shape)) for e in np.eye(3)], -1)
@@ -194,11 +205,10 @@ def damped_least_squares(residual, x: np.ndarray, steps: int = 30, lam: float =
     """Levenberg-Marquardt with numeric derivatives: (solution, covariance as the inverse of the normal matrix)."""
     x = x.astype(float).copy()
     cost = lambda v: float((residual(v) ** 2).sum())
+    jacobian = lambda v: np.stack([(residual(v + d) - residual(v - d)) / (2 * d[k]) for k, d in enumerate(np.eye(len(v)) * 1e-6)], 1)
     now = cost(x)
-    H = np.eye(len(x))
     for _ in range(steps):
-        r = residual(x)
-        J = np.stack([(residual(x + d) - residual(x - d)) / (2 * d[k]) for k, d in enumerate(np.eye(len(x)) * 1e-6)], 1)
+        r, J = residual(x), jacobian(x)
         H = J.T @ J
         step = np.linalg.lstsq(H + lam * np.diag(np.maximum(H.diagonal(), 1e-6)), -J.T @ r, rcond=None)[0]
         new = cost(x + step)
@@ -209,16 +219,20 @@ def damped_least_squares(residual, x: np.ndarray, steps: int = 30, lam: float =
             x, now = x + step, new
             if done:
                 break
-    return x, np.linalg.pinv(H)
+    J = jacobian(x)
+    return x, np.linalg.pinv(J.T @ J)
 
 
-def calibrate(fields: DataFrame, key: str, size: tuple[int, int]) -> DataFrame:
+def calibrate(fields: DataFrame, key: str, size: tuple[int, int], uncertainty: bool = False) -> DataFrame:
     """roll, pitch and vertical field of view of each image from its up and latitude fields.
 
     fields: key and arrays u, v (pixels), up_x, up_y, latitude. Starts level with a focal of 0.7 times the larger side.
+    With uncertainty also the deviations that the inverse normal matrix gives, for residuals of deviation 1:
+    roll_sd, pitch_sd, gravity_sd (the worst direction of both), focal_sd (half) and vfov_sd.
     """
     kind = dict(fields.dtypes)[key]
     height, width = size
+    names = ["roll", "pitch", "vfov", *(["roll_sd", "pitch_sd", "gravity_sd", "focal_sd", "vfov_sd"] if uncertainty else [])]
 
     def run(parts):
         for p in parts:
@@ -234,8 +248,37 @@ def calibrate(fields: DataFrame, key: str, size: tuple[int, int]) -> DataFrame:
                     lat = np.arcsin(np.clip((x0 * g[0] + y0 * g[1] + g[2]) / np.sqrt(x0**2 + y0**2 + 1), -1, 1))
                     return np.concatenate([a / n - np.array(f["up_x"], float), b / n - np.array(f["up_y"], float), lat - np.array(f["latitude"], float)])
 
-                x, _ = damped_least_squares(residual, np.array([0.0, 0.0, 0.7 * max(size)]))
-                out.append([f[key], x[0], x[1], 2 * np.arctan(height / (2 * x[2]))])
-            yield pd.DataFrame(out, columns=[key, "roll", "pitch", "vfov"])
+                x, cov = damped_least_squares(residual, np.array([0.0, 0.0, 0.7 * max(size)]))
+                row = [f[key], x[0], x[1], 2 * np.arctan(height / (2 * x[2]))]
+                if uncertainty:
+                    by_focal = 4 * height / (4 * x[2] ** 2 + height**2)
+                    row += [cov[0, 0] ** 0.5, cov[1, 1] ** 0.5, np.linalg.eigvalsh(cov[:2, :2])[-1] ** 0.5, cov[2, 2] ** 0.5 / 2, by_focal * (cov[2, 2] / 2) ** 0.5]
+                out.append(row)
+            yield pd.DataFrame(out, columns=[key, *names])
+
+    return fields.mapInPandas(run, ", ".join([f"{key} {kind}", *(f"{n} double" for n in names)]))
+
+
+def align_both_sides(rows: DataFrame, key: list[str], source: list[str], target: list[str]) -> DataFrame:
+    """key, left and right transforms (l0 .. l6, r0 .. r6: place, quaternion) with left * source * right close to the targets, and the mean squared error.
+
+    Least squares of the logarithm of what is left of each pose, from the identity on. One task takes a
+    key's trajectory, whose length the caller bounds. source, target: px, py, pz, qx, qy, qz, qw. Poses
+    with nulls take no part; a key without others is left out.
+    """
+    kinds = dict(rows.dtypes)
+    names = [*(f"l{i}" for i in range(7)), *(f"r{i}" for i in range(7)), "error"]
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p[source].to_numpy(float), p[target].to_numpy(float)
+        sides = lambda v: (pose_exp(v[:6]), pose_exp(v[6:]))
+
+        def residual(v):
+            left, right = (np.broadcast_to(s, x.shape) for s in sides(v))
+            return pose_log(pose_mul(pose_inv(pose_mul(pose_mul(left, x), right)), y)).ravel() / np.sqrt(len(x))
+
+        v, _ = damped_least_squares(residual, np.zeros(12), steps=60)
+        return pd.DataFrame([[*p[key].iloc[0], *np.concatenate(sides(v)), (residual(v) ** 2).sum()]], columns=[*key, *names])
 
-    return fields.mapInPandas(run, f"{key} {kind}, roll double, pitch double, vfov double")
+    kept = rows.select(*key, *source, *target).dropna(subset=[*source, *target])
+    return kept.groupBy(*key).applyInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in key), *(f"{n} double" for n in names)]))

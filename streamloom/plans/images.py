@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cameras as cam
 from ..functions import geometry as geo
-from ..operators import images
+from ..operators import images, solver
 from .base import GRID, SIZE, cells, query, rounded
 from .geometry import LINE, QSQL, lines, named
 
@@ -174,3 +174,29 @@ def random_poses(read):
     li = read("lineitem").select("l_orderkey", "l_linenumber")
     li, x = geo.staged(li, "x", geo.random_se3(0.1, 7, "l_orderkey", "l_linenumber"))
     return li.select("l_orderkey", "l_linenumber", *named("tx ty tz qx qy qz qw", (*x.t, *x.q)))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 640 AS u, l_suppkey % 480 AS v, 0.1 + l_discount AS d, 0.5 * l_linenumber - 0.3 AS tx, l_tax AS tz FROM lineitem), q AS (SELECT *, (u - 320) / 400.0 + tx * d AS x, (v - 240) / 400.0 AS y, 1 + tz * d AS z FROM p)
+SELECT l_orderkey, l_linenumber, round(400 * x / z + 320 - u, 5)::DOUBLE AS rx, round(400 * y / z + 240 - v, 5)::DOUBLE AS ry, round(400 * tx / z - 400 * x / (z * z) * tz, 5)::DOUBLE AS jx, z > 0.1 AS valid FROM q""")
+def track_residuals(read):
+    """Two frames half a unit a line apart, the second camera 0.3 to the side on its rig."""
+    li = read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 640).cast("double").alias("u"), (F.col("l_suppkey") % 480).cast("double").alias("v"), (0.1 + F.col("l_discount")).cast("double").alias("d"), (0.5 * F.col("l_linenumber")).cast("double").alias("tx"), F.col("l_tax").cast("double").alias("tz"))
+    at = lambda x, z: geo.SE3(geo.Vec(x, F.lit(0.0), z), geo.identity_quat())
+    o = F.lit(0.0)
+    rx, ry, jx, _, valid = cam.track_residual(F.col("u"), F.col("v"), F.col("d"), at(o, o), at(F.col("tx"), F.col("tz")), at(o, o), at(F.lit(0.3), o), [*map(F.lit, (400.0, 400.0, 320.0, 240.0))], (F.col("u"), F.col("v")))
+    return rounded(li.select("l_orderkey", "l_linenumber", rx.alias("rx"), ry.alias("ry"), jx.alias("jx"), valid.alias("valid")), 5)
+
+
+@query("""SELECT l_returnflag, 0.3::DOUBLE AS l0, -0.1::DOUBLE AS l1, 0.1::DOUBLE AS r2, 1.0::DOUBLE AS lw, 0.0::DOUBLE AS error FROM lineitem GROUP BY 1""")
+def both_sides_alignment(read):
+    """Poses moved on the left by (0.3, -0.1, 0) and on the right by (0, 0, 0.1): both are found again."""
+    li, t, phi = lines(read)
+    li, q = geo.staged(li, "q", geo.so3_exp(phi))
+    # The join stands between the quaternion and its uses, so that it is computed once.
+    li = li.dropDuplicates(["l_orderkey", "l_linenumber"]).join(read("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").dropDuplicates(["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"])
+    x = geo.SE3(t, q)
+    y = geo.SE3(geo.add(geo.add(t, geo.rotate(q, geo.vec(0.0, 0.0, 0.1))), geo.vec(0.3, -0.1, 0.0)), q)
+    names = "px py pz qx qy qz qw".split()
+    li = li.select("l_returnflag", *(c.alias(f"a{n}") for n, c in zip(names, (*x.t, *x.q))), *(c.alias(f"b{n}") for n, c in zip(names, (*y.t, *y.q))))
+    fit = solver.align_both_sides(li, ["l_returnflag"], [f"a{n}" for n in names], [f"b{n}" for n in names])
+    return rounded(fit.select("l_returnflag", "l0", "l1", "r2", F.col("l6").alias("lw"), "error"), 4)

@@ -396,3 +396,29 @@ def test_half_missing_image_is_filled_in_seconds(spark):
     got = joins.infill_mean(cells, ["k"]).agg(F.count("value"), F.max(F.abs(F.col("value") - F.col("v")))).first()
     assert got[0] == 384 * 512 and got[1] < 8
     assert time.monotonic() - began < 120
+
+
+def test_uncertainty_of_a_calibration(spark):
+    """Noise of a known deviation moves the found cameras as far as the inverse normal matrix says."""
+    rng = np.random.default_rng(2)
+    u, v = (x.ravel().astype(float) for x in np.meshgrid(np.arange(20, 640, 40), np.arange(20, 480, 40)))
+    roll, pitch, f, noise = 0.1, -0.15, 420.0, 0.01
+    x, y = (u - 320) / f, (v - 240) / f
+    g = np.array([-np.sin(roll) * np.cos(pitch), -np.cos(roll) * np.cos(pitch), np.sin(pitch)])
+    a, b = -(g[0] - g[2] * x), -(g[1] - g[2] * y)
+    n = np.hypot(a, b)
+    fields = [a / n, b / n, np.arcsin((x * g[0] + y * g[1] + g[2]) / np.sqrt(x * x + y * y + 1))]
+    rows = [(i, u.tolist(), v.tolist(), *((w + noise * rng.normal(size=len(u))).tolist() for w in fields)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, u array<double>, v array<double>, up_x array<double>, up_y array<double>, latitude array<double>")
+    got = solver.calibrate(df, "k", (480, 640), uncertainty=True).toPandas()
+    for name in ("roll", "pitch", "vfov"):
+        # A field of view's deviation is given for half of the focal length's variance.
+        said = got[f"{name}_sd"].mean() * noise * (2**0.5 if name == "vfov" else 1)
+        assert 0.7 < got[name].std() / said < 1.4
+    assert (got.gravity_sd >= got[["roll_sd", "pitch_sd"]].max(axis=1) - 1e-12).all()
+
+
+def test_pose_log_inverts_exp():
+    turns = np.random.default_rng(1).uniform(-1.8, 1.8, (50, 6))  # below half a turn
+    xi = np.concatenate([turns, np.zeros((1, 6)), np.full((1, 6), 1e-7)])
+    assert np.allclose(solver.pose_log(solver.pose_exp(xi)), xi, atol=1e-7)
