@@ -38,13 +38,13 @@ def spherical_harmonics(read):
     return rounded(c.select("vec_id", "v", "u", *(F.col("h")[k].alias(name) for k, name in ((0, "y00"), (1, "y1m"), (2, "y10"), (3, "y11"), (6, "y20")))))
 
 
-@query(f"""WITH {GRID}, p AS (SELECT vec_id AS kf, (u - 3.5) AS x, (v - 3.5) AS y, 4 + x AS z FROM g), f AS (SELECT vec_id AS frame_idx, vec_id AS kf, 0.1 * (vec_id % 3) AS tx FROM embeddings WHERE vec_id % 5 = 0)
+@query(f"""WITH {GRID}, p AS (SELECT vec_id AS kf, (u - 3.5) AS x, (v - 3.5) AS y, 4 + x AS z FROM g), f AS (SELECT vec_id AS frame_idx, vec_id AS kf, 0.1 * (vec_id % 3) AS tx FROM embeddings)
 SELECT frame_idx, CAST(floor(8 * y / z + 4) AS INTEGER) AS v, CAST(floor(8 * (x - tx) / z + 4) AS INTEGER) AS u, round(min(z), 6) AS depth FROM f JOIN p ON p.kf BETWEEN f.kf - 3 AND f.kf + 3
 WHERE z > 0.1 AND floor(8 * y / z + 4) BETWEEN 0 AND 7 AND floor(8 * (x - tx) / z + 4) BETWEEN 0 AND 7 GROUP BY 1, 2, 3""")
 def project_map_window(read):
     p = cells(read).select(F.col("vec_id").alias("kf"), (F.col("u") - 3.5).alias("x"), (F.col("v") - 3.5).alias("y"), (4 + F.col("value")).alias("z"))
     o = F.lit(0.0)
-    f = read("embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("frame_idx"), F.col("vec_id").alias("kf"), *(F.lit(v).alias(n) for n, v in (("fx", 8.0), ("fy", 8.0), ("cx", 4.0), ("cy", 4.0))), (0.1 * (F.col("vec_id") % 3)).alias("tx"), *(o.alias(n) for n in ("ty", "tz", "qx", "qy", "qz")), F.lit(1.0).alias("qw"))
+    f = read("embeddings").select(F.col("vec_id").alias("frame_idx"), F.col("vec_id").alias("kf"), *(F.lit(v).alias(n) for n, v in (("fx", 8.0), ("fy", 8.0), ("cx", 4.0), ("cy", 4.0))), (0.1 * (F.col("vec_id") % 3)).alias("tx"), *(o.alias(n) for n in ("ty", "tz", "qx", "qy", "qz")), F.lit(1.0).alias("qw"))
     return rounded(maps.frame_map(p, f, SIZE, SIZE, 3))
 
 
