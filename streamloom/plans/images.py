@@ -187,16 +187,16 @@ def track_residuals(read):
     return rounded(li.select("l_orderkey", "l_linenumber", rx.alias("rx"), ry.alias("ry"), jx.alias("jx"), valid.alias("valid")), 5)
 
 
-@query("""SELECT l_returnflag, 0.3::DOUBLE AS l0, -0.1::DOUBLE AS l1, 0.1::DOUBLE AS r2, 1.0::DOUBLE AS lw, 0.0::DOUBLE AS error FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey, 0.3::DOUBLE AS l0, -0.1::DOUBLE AS l1, 0.1::DOUBLE AS r2, 1.0::DOUBLE AS lw, 0.0::DOUBLE AS error FROM lineitem GROUP BY 1""")
 def both_sides_alignment(read):
-    """Poses moved on the left by (0.3, -0.1, 0) and on the right by (0, 0, 0.1): both are found again."""
+    """Each supplier's poses moved on the left by (0.3, -0.1, 0) and on the right by (0, 0, 0.1): both are found again."""
     li, t, phi = lines(read)
     li, q = geo.staged(li, "q", geo.so3_exp(phi))
     # The join stands between the quaternion and its uses, so that it is computed once.
-    li = li.dropDuplicates(["l_orderkey", "l_linenumber"]).join(read("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").dropDuplicates(["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"])
+    li = li.dropDuplicates(["l_orderkey", "l_linenumber"]).join(read("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").dropDuplicates(["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"])
     x = geo.SE3(t, q)
     y = geo.SE3(geo.add(geo.add(t, geo.rotate(q, geo.vec(0.0, 0.0, 0.1))), geo.vec(0.3, -0.1, 0.0)), q)
     names = "px py pz qx qy qz qw".split()
-    li = li.select("l_returnflag", *(c.alias(f"a{n}") for n, c in zip(names, (*x.t, *x.q))), *(c.alias(f"b{n}") for n, c in zip(names, (*y.t, *y.q))))
-    fit = solver.align_both_sides(li, ["l_returnflag"], [f"a{n}" for n in names], [f"b{n}" for n in names])
-    return rounded(fit.select("l_returnflag", "l0", "l1", "r2", F.col("l6").alias("lw"), "error"), 4)
+    li = li.select("l_suppkey", *(c.alias(f"a{n}") for n, c in zip(names, (*x.t, *x.q))), *(c.alias(f"b{n}") for n, c in zip(names, (*y.t, *y.q))))
+    fit = solver.align_both_sides(li, ["l_suppkey"], [f"a{n}" for n in names], [f"b{n}" for n in names])
+    return rounded(fit.select("l_suppkey", "l0", "l1", "r2", F.col("l6").alias("lw"), "error"), 4)
