@@ -16,8 +16,8 @@ PHI = ("l_quantity / 40", "l_discount * 5 - 0.2", "l_tax * 8 - 0.3")
 LINE = "l_orderkey, l_linenumber"
 
 
-def lines(read):
-    li = read("lineitem").select("l_orderkey", "l_linenumber", *(F.expr(e).alias(f"t{i}") for i, e in enumerate(TAU)), *(F.expr(e).alias(f"p{i}") for i, e in enumerate(PHI)))
+def lines(read, *more):
+    li = read("lineitem").select("l_orderkey", "l_linenumber", *more, *(F.expr(e).alias(f"t{i}") for i, e in enumerate(TAU)), *(F.expr(e).alias(f"p{i}") for i, e in enumerate(PHI)))
     return li, geo.vec("t0", "t1", "t2"), geo.vec("p0", "p1", "p2")
 
 

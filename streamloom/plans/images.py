@@ -190,10 +190,10 @@ def track_residuals(read):
 @query("""SELECT l_suppkey, 0.3::DOUBLE AS l0, -0.1::DOUBLE AS l1, 0.1::DOUBLE AS r2, 1.0::DOUBLE AS lw, 0.0::DOUBLE AS error FROM lineitem GROUP BY 1""")
 def both_sides_alignment(read):
     """Each supplier's poses moved on the left by (0.3, -0.1, 0) and on the right by (0, 0, 0.1): both are found again."""
-    li, t, phi = lines(read)
+    li, t, phi = lines(read, "l_suppkey")
     li, q = geo.staged(li, "q", geo.so3_exp(phi))
-    # The join stands between the quaternion and its uses, so that it is computed once.
-    li = li.dropDuplicates(["l_orderkey", "l_linenumber"]).join(read("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").dropDuplicates(["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"])
+    # The shuffle stands between the quaternion and its uses, so that it is computed once.
+    li = li.drop("l_orderkey", "l_linenumber").repartition("l_suppkey")
     x = geo.SE3(t, q)
     y = geo.SE3(geo.add(geo.add(t, geo.rotate(q, geo.vec(0.0, 0.0, 0.1))), geo.vec(0.3, -0.1, 0.0)), q)
     names = "px py pz qx qy qz qw".split()

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from streamloom.plans import catalogue
 
@@ -39,6 +40,15 @@ def test_proximity_greedy_takes_whole_streams(spark, con):
     assert {s: set(g.i) for s, g in got.groupby("stream_id")} == {s: set(range(n)) for s, n in sizes.items() if n > 1}
 
 
+def test_both_sides_alignment_uses_all_lines(spark, tmp_path):
+    """Lines that share an order and a number are different poses: no supplier loses any by them."""
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").withColumn("l_orderkey", F.lit(1).cast("long"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["both_sides_alignment"](spark, str(tmp_path)).collect()
+    assert sorted(r.l_suppkey for r in got) == sorted(r[0] for r in lines.select("l_suppkey").distinct().collect())
+    assert all((r.l0, r.l1, r.r2, r.lw, r.error) == (0.3, -0.1, 0.1, 1.0, 0.0) for r in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -422,3 +422,23 @@ def test_pose_log_inverts_exp():
     turns = np.random.default_rng(1).uniform(-1.8, 1.8, (50, 6))  # below half a turn
     xi = np.concatenate([turns, np.zeros((1, 6)), np.full((1, 6), 1e-7)])
     assert np.allclose(solver.pose_log(solver.pose_exp(xi)), xi, atol=1e-7)
+
+
+def test_both_sides_reach_the_optimum_in_few_passes(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = solver.pose_exp(r.normal(size=(300, 6)) * 0.8)
+    moved = lambda v: solver.pose_mul(solver.pose_mul(np.broadcast_to(solver.pose_exp(v[:6]), x.shape), x), np.broadcast_to(solver.pose_exp(v[6:]), x.shape))
+    y = solver.pose_mul(moved(r.normal(size=12) * 0.3), solver.pose_exp(r.normal(size=(300, 6)) * 0.3))
+    v, _ = solver.damped_least_squares(lambda v: solver.pose_log(solver.pose_mul(solver.pose_inv(moved(v)), y)).ravel() / np.sqrt(300), np.zeros(12), steps=60)
+    passes, sums = [], solver._both_sides_sums
+    monkeypatch.setattr(solver, "_both_sides_sums", lambda *a: passes.append(1) or sums(*a))
+    left, right, error = solver.fit_both_sides(x, y)
+    assert len(passes) <= 30  # numeric derivatives take 25 a step
+    assert np.allclose(left, solver.pose_exp(v[:6]), atol=1e-5) and np.allclose(right, solver.pose_exp(v[6:]), atol=1e-5)
+    assert np.isclose(error, (solver.pose_log(solver.pose_mul(solver.pose_inv(moved(v)), y)) ** 2).sum() / 300)
+    monkeypatch.setattr(solver, "ROWS_AT_ONCE", 64)
+    assert np.allclose(solver.fit_both_sides(x, y)[0], left, atol=1e-9)
+    names = [f"{s}{n}" for s in "ab" for n in "px py pz qx qy qz qw".split()]
+    rows = [("k", *a, *b) for a, b in zip(x.tolist(), y.tolist())] + [("k", None, *x[0, 1:].tolist(), *y[0].tolist()), ("none", None, *x[0, 1:].tolist(), *y[0].tolist())]
+    got = solver.align_both_sides(spark.createDataFrame(rows, "k string, " + ", ".join(f"{n} double" for n in names)), ["k"], names[:7], names[7:]).collect()
+    assert [g.k for g in got] == ["k"] and np.isclose(got[0].error, error) and np.allclose([got[0][f"r{i}"] for i in range(7)], right, atol=1e-9)
