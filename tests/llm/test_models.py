@@ -121,6 +121,32 @@ def test_forms_of_a_toxic_stem_are_found(spark):
     assert sum((x.score >= 0.3) == bool(x.toxic) for x in held) >= 0.98 * len(held)
 
 
+def test_every_byte_of_long_words_is_spelled():
+    texts = [b"", b"short ones", b"a" * 12 + b" " + b"b" * 13 + b"-" + b"c" * 24, "\u8a9e".encode() * 50, b"...", b"d" * 1000]
+    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    h, start, end, first = toxicity.spelled(buf, offs)
+    covered = np.zeros(len(buf), int)
+    for a, b in zip(start, end):
+        covered[a:b] += 1
+    assert (covered == toxicity._KEEP[buf]).all() and (end - start <= toxicity.DEPTH).all() and len(h) == len(start)
+    assert np.diff(first).tolist() == [sum(-(-len(w) // 12) for w in t.replace(b"-", b" ").replace(b".", b" ").split()) for t in texts]
+
+
+def test_toxic_ends_of_long_words_are_found(spark):
+    r = random.Random(5)
+    part = lambda: "".join(r.choice(["ka", "lo", "mi", "ner", "tu", "vas"]) for _ in range(r.randint(2, 4)))
+    rows = []
+    for k in range(800):
+        bad = k % 5 == 0
+        w = [part() for _ in range(80)] + ["unverkennbar" + ("grok" if bad else "") + part() for _ in range(3)]
+        r.shuffle(w)
+        rows.append((k, " ".join(w), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.where("doc_id < 500").select("doc_id", "toxic"))
+    held = toxicity.score(docs.where("doc_id >= 500"), model).collect()
+    assert sum((x.score >= 0.3) == bool(x.toxic) for x in held) >= 0.98 * len(held)
+
+
 def test_texts_above_a_block(spark):
     long = "word other " * (BLOCK_BYTES // 8)
     docs = spark.createDataFrame([(1, long), (2, "short one here"), (3, long + "word")], "doc_id long, text string")
